@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Fixed values of 32-bit MurmurHash2, its seed here, and the bytes left out.
 MULTIPLIER = np.uint32(0x5BD1E995)
@@ -48,7 +48,7 @@ def murmur2_batch(blobs: list[bytes]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def content_fingerprint(content: pd.Series) -> pd.Series:
     """MurmurHash2 of a binary column with whitespace bytes removed; empty is 0."""
     present = content.notna()

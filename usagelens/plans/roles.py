@@ -156,7 +156,7 @@ records AS (
          'f' || (l_suppkey % 10) AS field, (l_suppkey % 16)::INTEGER AS field_access,
          l_quantity > 25 AS annotated,
          'm' || (l_suppkey % 10) AS method, ((l_suppkey + l_quantity::BIGINT) % 16)::INTEGER AS method_access,
-         'lambda$' || l_linenumber AS lambda,
+         'lambda$' || l_linenumber AS lambda_name,
          l_quantity::INTEGER AS n, l_partkey
   FROM lineitem
 ),
@@ -245,7 +245,7 @@ updates AS (
 ),
 same AS (
   SELECT min(event_id) AS file_id FROM events
-  WHERE event_type <> 'error' AND event_id * 5 >= (SELECT max(event_id) * 3 FROM events)
+  WHERE event_type <> 'error' AND event_id * 100 >= (SELECT max(event_id) * 99 FROM events)
 ),
 known AS (
   SELECT event_id AS file_id,
@@ -268,7 +268,7 @@ def known_updates(t: Tables) -> DataFrame:
     """Stored dates: equal to the second for one file, a day older for others."""
     events = t.events.withColumn("ts", col("ts").cast("timestamp"))
     top = t.events.agg(F.max("event_id")).scalar()
-    same = t.events.where((col("event_type") != "error") & (col("event_id") * 5 >= top * 3)).agg(F.min("event_id")).scalar()
+    same = t.events.where((col("event_type") != "error") & (col("event_id") * 100 >= top * 99)).agg(F.min("event_id")).scalar()
     is_same = col("event_id") == same
     return events.where((col("value") > 100) | is_same).select(
         col("event_id").alias("file_id"),

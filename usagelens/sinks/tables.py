@@ -86,27 +86,26 @@ def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str,
     again after a failure gives the same table.
     """
     spark = new.sparkSession
-    touched = {r[0] for r in replaced.select(bucket_of(key, buckets)).distinct().collect()}
+    touched = _buckets(replaced, key, buckets)
     if not touched:
         return
-    stored = spark.read.parquet(path)
-    current = stored.where(F.col(BUCKET).isin(*touched))
-    merged = replace_by_key(current, new.withColumn(BUCKET, bucket_of(key, buckets)), replaced, key)
+    keyed = new.withColumn(BUCKET, bucket_of(key, buckets))
+
+    def stored(wanted: set[int]) -> DataFrame:
+        return spark.read.schema(keyed.schema).parquet(path).where(F.col(BUCKET).isin(*wanted))
+
+    merged = replace_by_key(stored(touched), keyed, replaced, key)
     # The salt spreads one hot bucket over several files and tasks.
     spread = merged.repartition(F.col(BUCKET), F.pmod(F.xxhash64(*new.columns), F.lit(16)))
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    _drop_emptied(spark, path, touched, new, stored, replaced, key, buckets)
 
+    without_new = touched - _buckets(new, key, buckets)
+    if without_new:
+        kept = stored(without_new).join(replaced.select(key), key, "left_anti").select(BUCKET).distinct()
+        for bucket in without_new - {r[0] for r in kept.collect()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={bucket}")
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-def _drop_emptied(spark, path, touched, new, stored, replaced, key, buckets) -> None:
-    filled = {r[0] for r in new.select(bucket_of(key, buckets)).distinct().collect()}
-    suspects = touched - filled
-    if not suspects:
-        return
-    left = (
-        stored.where(F.col(BUCKET).isin(*suspects))
-        .join(replaced.select(key), key, "left_anti").select(BUCKET).distinct()
-    )
-    for bucket in suspects - {r[0] for r in left.collect()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={bucket}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+def _buckets(rows: DataFrame, key: str, buckets: int) -> set[int]:
+    return {r[0] for r in rows.select(bucket_of(key, buckets)).distinct().collect()}
