@@ -74,7 +74,7 @@ def incremental_batch(
         .where(F.col("file_id").isNotNull())
         .dropDuplicates(["project_id"])
         .join(taken, "project_id", "left_anti")
-        .join(indexed, "project_id", "left_anti")
+        .join(indexed.select("project_id").distinct(), "project_id", "left_anti")
     )
     micros = lambda c: F.unix_micros(c)
     return taken.select(

@@ -46,9 +46,10 @@ def select_artifacts(
     """Artifact rows a filter list keeps, before projection.
 
     ``class_defs(artifact_id, class_name)`` serves the class filter and
-    ``packs(pack_id, int_project_id)`` the pack filter; both become semi joins,
-    so neither multiplies rows. Only the first pack filter counts, and an empty
-    pack keeps nothing.
+    ``packs(pack_id, int_project_id)`` the pack filter. Both become semi joins on
+    distinct keys, so neither multiplies rows, and an artifact with very many
+    classes is one key. Only the first pack filter counts, and an empty pack
+    keeps nothing.
     """
     grouped = by_key(filters)
     columns = {
@@ -63,17 +64,22 @@ def select_artifacts(
         kept = kept.where(exists_any_of(any_depth(F.col("nested_tree"), "id"), grouped[CONTAINED]))
     if IN_PACK in grouped:
         members = packs.where(F.col("pack_id") == grouped[IN_PACK][0].value)
-        kept = kept.join(members, "int_project_id", "left_semi")
+        kept = kept.join(members.select("int_project_id").distinct(), "int_project_id", "left_semi")
     if CLASS_NAME in grouped:
         named = class_defs.where(any_of(F.col("class_name"), grouped[CLASS_NAME]))
-        kept = kept.join(named, F.col("id") == F.col("artifact_id"), "left_semi")
-        kept = kept.dropDuplicates(DISPLAYED)
+        owners = named.select(F.col("artifact_id").alias("id")).distinct()
+        kept = kept.join(owners, "id", "left_semi").select(DISPLAYED).distinct()
     return kept
 
 
 def list_artifacts(artifacts: DataFrame, filters: Iterable[Filter] = (), **tables) -> DataFrame:
-    """The listing: selected, displayed, ordered by name."""
-    return display(select_artifacts(artifacts, filters, **tables)).orderBy("artifact_name")
+    """The listing: selected, displayed, ordered by name.
+
+    The further sort keys give equal names an order, and let the range sort cut
+    a name that many artifacts share over several tasks.
+    """
+    shown = display(select_artifacts(artifacts, filters, **tables))
+    return shown.orderBy("artifact_name", "version", "pid")
 
 
 def count_listing(artifacts: DataFrame, filters: Iterable[Filter] = (), **tables) -> DataFrame:

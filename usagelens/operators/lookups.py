@@ -33,17 +33,17 @@ def by_hash(hashes: DataFrame, known_files: DataFrame) -> DataFrame:
 
 def unknown_hashes(files: DataFrame, known_files: DataFrame) -> DataFrame:
     """Files still to index: those whose hash is not known."""
-    return files.join(known_files, "sha1", "left_anti")
+    return files.join(known_files.select("sha1"), "sha1", "left_anti")
 
 
 def members_of(artifacts: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
     """Artifacts whose project id is in ``wanted`` (same column name)."""
-    return artifacts.join(wanted, id_column, "left_semi")
+    return artifacts.join(wanted.select(id_column).distinct(), id_column, "left_semi")
 
 
 def not_indexed(projects: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
     """Projects the index has no artifact for."""
-    return projects.join(artifacts, key, "left_anti")
+    return projects.join(artifacts.select(key).distinct(), key, "left_anti")
 
 
 def duplicate_names(artifacts: DataFrame, key: str = "name", at_least: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsonvalues import any_depth
 from ..functions.versions import version_key
-from ..session import new_path
+from ..session import new_path, write_counted
 from .filters import Filter, exists_any_of
 
 NODE_FIELDS = ("id", "version", "sha1")
@@ -40,10 +40,9 @@ def flatten_tree(trees: DataFrame, keys: list[str], tree: str = "nested_tree") -
     written: list[str] = []
     while True:
         written.append(f"{base}/level={len(written)}")
-        current.write.parquet(written[-1])
-        stored = spark.read.schema(schema).parquet(written[-1])
-        if stored.isEmpty():
+        if not write_counted(current, written[-1]):
             break
+        stored = spark.read.schema(schema).parquet(written[-1])
         current = level(stored.where(F.col("subtree").isNotNull()), F.col("path"))
     return spark.read.schema(schema).parquet(*written).drop("subtree")
 
@@ -99,7 +98,7 @@ def build_nested(edges: DataFrame, depth: int) -> DataFrame:
     Built from the deepest level up: each step turns the children of one parent
     into an ordered JSON array and hangs it on the parent's own row. ``nested``
     is left out where empty, and a root without children has no row, that is,
-    no tree.
+    no tree. A tree is one value of one row, so it has to fit in a task.
     """
     below = None
     for level in range(depth, -1, -1):

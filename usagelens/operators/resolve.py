@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.versions import version_key
+from ..session import materialize
 from .nested import expand_nested
 
 A, B = "a", "b"
@@ -117,8 +118,7 @@ def _by_project(artifacts: DataFrame) -> DataFrame:
         F.struct(F.lit(B).alias("catalogue"), F.col("text_project_id").alias("project_id")),
     )
     return (
-        artifacts.select("id", F.inline(keys)).where(F.col("project_id").isNotNull())
-        .groupBy("catalogue", "project_id").agg(F.min("id").alias("artifact_id"))
+        artifacts.select(F.col("id").alias("artifact_id"), F.inline(keys)).where(F.col("project_id").isNotNull())
     )
 
 
@@ -183,15 +183,15 @@ def resolve_entities(
     indexed version is not older, ``new``; and ``unidentified``. For a known
     hash, ``merge_id`` is a second artifact of the candidate's project.
 
-    Each rule is an inner join that yields at most one artifact per candidate,
-    so the small side, usually the candidates, can be broadcast by its size.
+    Every rule reads the candidates, so they are written once; their measured
+    size then lets Spark broadcast a small batch and leave the index unshuffled.
+    Each rule is an inner join, and of several artifacts the least id is taken.
     """
+    candidates = materialize(candidates, "candidates")
     listed = candidates.where(F.col("catalogue").isNotNull())
     loose = candidates.where(F.col("catalogue").isNull() & F.col("coordinate").isNotNull())
-    at_coordinate = artifacts.where(F.col("coordinates").isNotNull()).groupBy(
-        F.col("coordinates").alias("coordinate")
-    ).agg(F.min_by(F.struct("id", F.col("version").alias("indexed")), "id").alias("at")).select(
-        "coordinate", F.col("at.id").alias("artifact_id"), "at.indexed"
+    at_coordinate = artifacts.select(
+        F.col("coordinates").alias("coordinate"), F.col("id").alias("artifact_id"), F.col("version").alias("indexed")
     )
 
     def hit(rule: str, rows: DataFrame, indexed: Column | None = None) -> DataFrame:
@@ -207,7 +207,7 @@ def resolve_entities(
     of = lambda rule, column: F.min(F.when(F.col("rule") == rule, F.col(column)))
     decided = hits.groupBy("candidate_id").agg(
         *[of(r, "artifact_id").alias(r) for r in ("known", "project", "same_name", "coordinate")],
-        of("coordinate", "indexed").alias("indexed"),
+        F.min_by("indexed", F.when(F.col("rule") == "coordinate", F.col("artifact_id"))).alias("indexed"),
     )
     outdated = version_key(F.col("indexed")) >= version_key(F.col("version"))
     has_project = F.col("catalogue").isNotNull()

@@ -145,18 +145,18 @@ def version_order(t: Tables) -> DataFrame:
 
 
 @query("build_nested", """
-WITH lines AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
+WITH lines AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_returnflag = 'R' AS alone FROM lineitem),
 inner_nodes AS (
   SELECT o, p, string_agg('{"id":"s:' || s || '","version":"' || (s % 7) || '"}', ',' ORDER BY s) AS json
-  FROM lines WHERE s % 3 > 0 GROUP BY o, p),
+  FROM (SELECT DISTINCT o, p, s FROM lines WHERE NOT alone) GROUP BY o, p),
 outer_nodes AS (
   SELECT DISTINCT l.o, l.p, '{"id":"p:' || l.p || '","version":"' || (l.p % 5) || '"'
          || coalesce(',"nested":[' || i.json || ']', '') || '}' AS json
   FROM lines l LEFT JOIN inner_nodes i ON i.o = l.o AND i.p = l.p)
 SELECT 'o' || o AS root, '[' || string_agg(json, ',' ORDER BY p) || ']' AS nested_tree FROM outer_nodes GROUP BY o""")
 def build_nested(t: Tables) -> DataFrame:
-    """Orders contain parts, parts contain some of their suppliers."""
-    line = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    """Orders contain parts; parts that were not returned contain their suppliers."""
+    line = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").distinct()
     order, part, supplier = text("l_orderkey"), text("l_partkey"), text("l_suppkey")
     node = F.concat_ws("/", order, part)
     edge = lambda parent, child, position, id, version, depth: [
@@ -164,7 +164,7 @@ def build_nested(t: Tables) -> DataFrame:
         version.cast("string").alias("version"), lit(depth).alias("depth"),
     ]
     outer = line.select(*edge(F.concat(lit("o"), order), node, col("l_partkey"), F.concat(lit("p:"), part), col("l_partkey") % 5, 0)).distinct()
-    inner = line.where(col("l_suppkey") % 3 > 0).select(
+    inner = line.where(col("l_returnflag") != "R").select(
         *edge(node, F.concat_ws("/", order, part, supplier), col("l_suppkey"), F.concat(lit("s:"), supplier), col("l_suppkey") % 7, 1)
-    )
+    ).distinct()
     return nested.build_nested(outer.union(inner), 1)

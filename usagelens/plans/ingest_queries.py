@@ -95,14 +95,13 @@ def updated_prefix(t: Tables) -> DataFrame:
     return found.withColumn("updated", F.unix_micros("updated"))
 
 
-@query("known_by_hash", """
-WITH known AS (SELECT sha1(text) AS sha1, min(doc_id) AS artifact_id FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
-SELECT doc_id, sha1(text) AS sha1, artifact_id, artifact_id IS NULL AS to_index
-FROM documents LEFT JOIN known ON known.sha1 = sha1(text)""")
+@query("known_by_hash", f"""
+WITH {FILES}, known AS (SELECT sha1, min(file_id) AS artifact_id FROM files WHERE catalogue = 'b' GROUP BY 1)
+SELECT file_id AS doc_id, sha1, artifact_id, artifact_id IS NULL AS to_index FROM files LEFT JOIN known USING (sha1)""")
 def known_by_hash(t: Tables) -> DataFrame:
-    hashed = t.documents.select("doc_id", F.sha1("text").alias("sha1"))
-    known = hashed.where("doc_id % 2 = 1").groupBy("sha1").agg(F.min("doc_id").alias("artifact_id"))
-    return lookups.by_hash(hashed, known).withColumn("to_index", col("artifact_id").isNull())
+    whole = files(t)
+    known = whole.where("catalogue = 'b'").groupBy("sha1").agg(F.min("file_id").alias("artifact_id"))
+    return lookups.by_hash(whole.select(col("file_id").alias("doc_id"), "sha1"), known).withColumn("to_index", col("artifact_id").isNull())
 
 
 @query("run_summary", """

@@ -10,7 +10,7 @@ def replace_by_key(current: DataFrame, new: DataFrame, replaced: DataFrame, key:
 
     ``replaced`` lists the keys, so a key without new rows is emptied.
     """
-    return current.join(replaced.select(key), key, "left_anti").select(current.columns).unionByName(new)
+    return current.join(replaced.select(key).distinct(), key, "left_anti").select(current.columns).unionByName(new)
 
 
 def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str = "artifact_id") -> dict[str, DataFrame]:
@@ -18,7 +18,8 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str =
 
     Facts carry the artifact id, so no chain of parent tables is walked.
     """
-    return {name: t.join(deleted, key, "left_anti") for name, t in tables.items()}
+    gone = deleted.select(key).distinct()
+    return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
 
 
 def insert_if_absent(
@@ -101,7 +102,7 @@ def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str,
 
     without_new = touched - _buckets(new, key, buckets)
     if without_new:
-        kept = stored(without_new).join(replaced.select(key), key, "left_anti").select(BUCKET).distinct()
+        kept = stored(without_new).join(replaced.select(key).distinct(), key, "left_anti").select(BUCKET).distinct()
         for bucket in without_new - {r[0] for r in kept.collect()}:
             target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={bucket}")
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
