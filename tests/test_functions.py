@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from usagelens.functions import jsonvalues, scalars
+from usagelens.functions.fingerprint import content_fingerprint, entry_set_digest, murmur2_batch
+from usagelens.functions.versions import version_key
+from usagelens.operators.resolve import clean_content, without_timestamps
+
+# Ascending groups of equal versions, from the public version-order documentation.
+ORDERED = [
+    ["1-alpha", "1.alpha", "1.0.alpha", "1-ALPHA"], ["1-alpha-1", "1-a1"], ["1-beta"], ["1-b2"],
+    ["1-milestone-3", "1-m3"], ["1-rc", "1-cr"], ["1-snapshot"],
+    ["1", "1.0", "1.0.0", "1.ga", "1-final", "1-release", "1.0.0-0.0.0", "01"],
+    ["1-sp"], ["1-abc"], ["1-foo", "1.0.0-foo.0.0"], ["1-foo2", "1-foo-2"], ["1-foo10"],
+    ["1-1", "1-01"], ["1-2"], ["1.0.1"], ["1.1"], ["1.9"], ["1.10"], ["1.20.1"], ["1.20.1-47.1.3"], ["1.20.6"], ["2-rc1"], ["2"],
+]
+
+
+def test_version_key_orders_as_documented(spark):
+    flat = [(i, v) for i, group in enumerate(ORDERED) for v in group]
+    keys = spark.createDataFrame(flat, "g int, v string").select("g", "v", version_key(F.col("v")).alias("k")).collect()
+    for a in keys:
+        for b in keys:
+            assert (a.k < b.k) == (a.g < b.g) and (a.k == b.k) == (a.g == b.g), (a, b)
+
+
+def test_version_key_of_null_is_null(spark):
+    assert spark.range(1).select(version_key(F.lit(None).cast("string"))).first()[0] is None
+
+
+def slow_murmur2(data: bytes) -> int:
+    data = bytes(b for b in data if b not in (9, 10, 13, 32))
+    if not data:
+        return 0
+    mask, m = 0xFFFFFFFF, 0x5BD1E995
+    h = 1 ^ len(data)
+    whole = len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        k = int.from_bytes(data[i:i + 4], "little") * m & mask
+        h = (h * m & mask) ^ ((k ^ k >> 24) * m & mask)
+    if data[whole:]:
+        h = (h ^ int.from_bytes(data[whole:], "little")) * m & mask
+    h = (h ^ h >> 13) * m & mask
+    return h ^ h >> 15
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.binary(max_size=70), min_size=1, max_size=12))
+def test_murmur2_equals_word_by_word(blobs):
+    assert murmur2_batch(blobs).tolist() == [slow_murmur2(b) for b in blobs]
+
+
+def test_fingerprint_column_over_whole_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = docs.select("text", content_fingerprint(F.col("text").cast("binary")).alias("f")).collect()
+    assert [r.f for r in got] == [slow_murmur2(r.text.encode()) for r in got]
+
+
+def test_fingerprint_keeps_nulls(spark):
+    df = spark.createDataFrame([(b"a",), (None,), (b" \n",)], "c binary").coalesce(1)
+    got = [r[0] for r in df.select(content_fingerprint("c")).collect()]
+    assert got == [slow_murmur2(b"a"), None, 0]
+
+
+@pytest.mark.parametrize("text, expected", [
+    ('{"b":1.0,"a":[1,"x:1.0,y",2.50,1e2]}', '{"a":[1,"x:1.0,y",2.5,100],"b":1}'),
+    ('{"a":1,"a":2}', '{"a":2}'), ("bad", None), ('"1.0"', '"1.0"'), ("1.0", "1"), ("{}", "{}"),
+    ('{"k":"\\"v\\":1.0,"}', '{"k":"\\"v\\":1.0,"}'),
+])
+def test_canonical_json(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(jsonvalues.canonical_json(F.col("t"))).first()[0] == expected
+
+
+def test_any_depth_finds_keys_not_values(spark):
+    tree = '[{"id":"g:a","v":"\\"id\\":\\"no\\"","nested":[{"id":"q\\"x","xid":"no","nested":[{"id" : "d"}]}]},{"id":7}]'
+    df = spark.createDataFrame([(tree,), (None,), ("[]",)], "t string")
+    got = [r[0] for r in df.select(jsonvalues.any_depth(F.col("t"), "id")).collect()]
+    assert got == [["g:a", 'q"x', "d"], None, []]
+
+
+def test_json_numbers_and_nul(spark):
+    df = spark.createDataFrame([(float("inf"), "a\x00b"), (float("-inf"), "\x00"), (1.5, "c")], "d double, s string")
+    got = [tuple(r) for r in df.select(jsonvalues.json_number(F.col("d")), jsonvalues.strip_nul(F.col("s"))).collect()]
+    assert got == [('"+inf"', "ab"), ('"-inf"', ""), ("1.5", "c")]
+
+
+def test_namespaces_and_search_keys(spark):
+    df = spark.createDataFrame([("a",), ("x:b",), ("#c",), ("#x:d",)], "t string")
+    got = [r[0] for r in df.select(scalars.with_namespace(F.col("t"))).collect()]
+    assert got == ["minecraft:a", "x:b", "#minecraft:c", "#x:d"]
+    key = lambda registry, tag: spark.range(1).select(
+        scalars.tag_search_key(F.lit(registry).cast("string"), F.lit(tag).cast("string"))
+    ).first()[0]
+    assert key("block", "ns:tag") == "ns/block/tag"
+    assert key(None, None) == "//" and key("block", "ns") == "ns/block/"
+
+
+def test_author_joining(spark):
+    df = spark.createDataFrame([(["a", None, "b"],), ([None],), ([" "],), ([],)], "a array<string>")
+    assert [r[0] for r in df.select(scalars.join_authors(F.col("a"))).collect()] == ["a; b", None, None, None]
+
+
+def test_manifest_timestamps(spark):
+    manifest = "Manifest-Version: 1.0\r\nBuild-TimeStamp: 2024\r\n more\r\nBuilt-By: x\r\n\r\nName: a\r\nX-Timestamp: 1\r\n"
+    got = spark.createDataFrame([(manifest,)], "m string").select(without_timestamps(F.col("m"))).first()[0]
+    assert got == "Manifest-Version: 1.0\r\nBuilt-By: x\r\n\r\nName: a\r\nX-Timestamp: 1\r\n"
+
+
+def test_entry_digest_sees_order_and_content_but_not_timestamps(spark):
+    m = "META-INF/MANIFEST.MF"
+    entries = [
+        ("a", 0, m, "A: 1\nX-Timestamp: 1\n"), ("a", 1, "p", "x"),
+        ("b", 0, m, "A: 1\nX-Timestamp: 2\n"), ("b", 1, "p", "x"),
+        ("c", 1, m, "A: 1\n"), ("c", 0, "p", "x"),
+        ("d", 0, m, "A: 1\n"), ("d", 1, "p", "y"),
+    ]
+    df = spark.createDataFrame(entries, "k string, n int, path string, content string")
+    content = clean_content(F.col("path"), F.col("content").cast("binary"))
+    got = {r.k: tuple(r)[1:] for r in df.groupBy("k").agg(*entry_set_digest(F.col("n"), F.col("path"), content)).collect()}
+    assert got["a"] == got["b"] and len(set(got.values())) == 3
