@@ -270,7 +270,7 @@ def test_remapping(spark, rows):
     mapping = spark.createDataFrame([("x/A", "y/A"), ("w/Z", "y/Z"), ("x/D$1", "y$1\\")], "original string, mapped string")
     df = spark.createDataFrame([("(Lx/A;I)Lx/B;",), ("(Lw/Z;)V",), ("I",), ("Lx/D$1;Lx/A;",), (None,)], "d string")
     assert rows(remap.remap_descriptors(df, "d", mapping, "x/")) == sorted(
-        [("(Ly/A;I)Lx/B;",), ("(Lw/Z;)V",), ("I",), ("Ly$1\;Ly/A;",), (None,)], key=repr)
+        [("(Ly/A;I)Lx/B;",), ("(Lw/Z;)V",), ("I",), ("Ly$1\\;Ly/A;",), (None,)], key=repr)
     names = spark.createDataFrame([("x/A",), ("w/Z",), ("x/B",)], "d string")
     assert rows(remap.remap_names(names, "d", mapping, "x/")) == [("w/Z",), ("x/B",), ("y/A",)]
     assert remap.remap_names(names, "d", mapping, None) is names

@@ -108,6 +108,11 @@ def facets(artifacts: DataFrame) -> DataFrame:
     )
 
 
+def in_scope(table: DataFrame, game_version: str, loader: str) -> DataFrame:
+    """One scope of a table; on its partition columns this prunes directories."""
+    return table.where((F.col("game_version") == game_version) & (F.col("loader") == loader))
+
+
 def scopes(table: DataFrame, pattern: str = "1.%") -> DataFrame:
     return table.select("game_version", "loader").where(F.col("game_version").like(pattern)).distinct()
 

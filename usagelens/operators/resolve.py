@@ -60,18 +60,20 @@ def expand_candidates(
       project's file its coordinate; a further project becomes a candidate once;
     * the others become candidates without a file.
 
-    For one file, the coordinate met last stays.
+    For one file, the coordinate met last stays. The steps that several results
+    share are written once.
     """
+    candidates = materialize(candidates, "candidates")
     assert_unique(candidates, "sha1")
-    contained = expand_nested(candidates).select("id", "version", "sha1", "first_seen")
+    contained = materialize(expand_nested(candidates).select("id", "version", "sha1", "first_seen"), "contained")
     own = candidates.select("sha1", "file_id", "project_id")
 
     linked = contained.join(own, "sha1").select("project_id", "file_id", "id", "first_seen", F.lit(0).alias("step"))
     rest = contained.join(own, "sha1", "left_anti")
 
-    matched = match_fingerprints(
+    matched = materialize(match_fingerprints(
         rest.select("id", "first_seen", F.col("sha1").alias("fingerprint")), files, first_only
-    )
+    ), "matched")
     batch = candidates.where(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.max_by("file_id", "position").alias("batch_file")
     )

@@ -113,9 +113,9 @@ given AS (
 
 
 def _expansion(t: Tables) -> tuple[DataFrame, DataFrame]:
-    docs = t.documents.groupBy("text").agg(
+    docs = t.documents.groupBy(F.sha1("text").alias("sha1")).agg(
         F.min_by(F.struct("doc_id", "source", "lang", "n_chars"), "doc_id").alias("d")
-    ).select("d.*", F.sha1("text").alias("sha1"))
+    ).select("d.*", "sha1")
     mod = lambda n: (col("n_chars") % n).cast("string")
     inner = (
         F.when(col("n_chars") % 3 == 0, col("sha1")).when(col("n_chars") % 3 == 1, F.sha1(F.concat("source", "lang")))

@@ -243,16 +243,10 @@ updates AS (
          event_type, value
   FROM events
 ),
-same AS (
-  SELECT min(event_id) AS file_id FROM events
-  WHERE event_type <> 'error' AND event_id * 100 >= (SELECT max(event_id) * 99 FROM events)
-),
 known AS (
   SELECT event_id AS file_id,
-         CASE WHEN event_id = (SELECT file_id FROM same) THEN date_trunc('second', ts)
-              ELSE ts - INTERVAL 1 DAY END AS latest_date
-  FROM events
-  WHERE value > 100 OR event_id = (SELECT file_id FROM same)
+         CASE WHEN value > 200 THEN date_trunc('second', ts) ELSE ts - INTERVAL 1 DAY END AS latest_date
+  FROM events WHERE value > 100
 )"""
 
 
@@ -265,12 +259,9 @@ def updates(t: Tables) -> DataFrame:
 
 
 def known_updates(t: Tables) -> DataFrame:
-    """Stored dates: equal to the second for one file, a day older for others."""
-    events = t.events.withColumn("ts", col("ts").cast("timestamp"))
-    top = t.events.agg(F.max("event_id")).scalar()
-    same = t.events.where((col("event_type") != "error") & (col("event_id") * 100 >= top * 99)).agg(F.min("event_id")).scalar()
-    is_same = col("event_id") == same
-    return events.where((col("value") > 100) | is_same).select(
+    """Stored dates: equal to the second for some files, a day older for others."""
+    ts = col("ts").cast("timestamp")
+    return t.events.where("value > 100").select(
         col("event_id").alias("file_id"),
-        F.when(is_same, F.date_trunc("second", "ts")).otherwise(col("ts") - F.expr("INTERVAL 1 DAY")).alias("latest_date"),
+        F.when(col("value") > 200, F.date_trunc("second", ts)).otherwise(ts - F.expr("INTERVAL 1 DAY")).alias("latest_date"),
     )
