@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 
 def replace_by_key(current: DataFrame, new: DataFrame, replaced: DataFrame, key: str) -> DataFrame:
@@ -81,32 +81,26 @@ def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str,
     """Replace the rows of some keys in a bucketed table.
 
     Only buckets that hold a replaced key are read and rewritten; all others stay
-    as they are. The new files are staged and moved in at commit. The bucket list
-    is the only thing the driver sees, and is bounded by ``buckets``. A bucket
-    left without rows is removed, since no file would overwrite it. Running it
-    again after a failure gives the same table.
+    as they are. The new files are staged and moved in at commit, and ``new`` is
+    computed once. The driver only sees two lists of bucket numbers, bounded by
+    ``buckets``. A bucket left without rows is removed, since no file would
+    overwrite it. Running it again after a failure gives the same table.
     """
     spark = new.sparkSession
-    touched = _buckets(replaced, key, buckets)
+    touched = {r[0] for r in replaced.select(bucket_of(key, buckets)).distinct().collect()}
     if not touched:
         return
     keyed = new.withColumn(BUCKET, bucket_of(key, buckets))
-
-    def stored(wanted: set[int]) -> DataFrame:
-        return spark.read.schema(keyed.schema).parquet(path).where(F.col(BUCKET).isin(*wanted))
-
-    merged = replace_by_key(stored(touched), keyed, replaced, key)
+    stored = spark.read.schema(keyed.schema).parquet(path).where(F.col(BUCKET).isin(*touched))
     # The salt spreads one hot bucket over several files and tasks.
+    merged = replace_by_key(stored, keyed, replaced, key)
     spread = merged.repartition(F.col(BUCKET), F.pmod(F.xxhash64(*new.columns), F.lit(16)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-
-    without_new = touched - _buckets(new, key, buckets)
-    if without_new:
-        kept = stored(without_new).join(replaced.select(key).distinct(), key, "left_anti").select(BUCKET).distinct()
-        for bucket in without_new - {r[0] for r in kept.collect()}:
-            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={bucket}")
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+    filled = Observation()
+    (
+        spread.observe(filled, F.collect_set(BUCKET).alias("buckets")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    )
+    for bucket in touched - set(filled.get["buckets"]):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={bucket}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-def _buckets(rows: DataFrame, key: str, buckets: int) -> set[int]:
-    return {r[0] for r in rows.select(bucket_of(key, buckets)).distinct().collect()}
