@@ -72,6 +72,16 @@ def test_known_hash_under_another_project_merges(spark, store, rows):
     assert rows(store.read("class_defs"), "artifact_id") == [(1,)]
 
 
+def test_coordinates_are_filled_only_where_missing(spark, store, rows):
+    Batch(spark, [("c1", "a", "1", "f1", "h1", "A", "x"), ("c2", "a", "2", "f2", "h2", "B", "y")]).run(store)
+    loose = Batch(spark, [("c3", None, None, None, "h1", "A", "x")])
+    loose.candidates = loose.candidates.withColumn("coordinate", F.lit("g:a"))
+    loose.run(store)
+    given = spark.createDataFrame([("1", "g:other"), ("2", "g:b")], "project_id string, coordinate string")
+    index_run.fill_missing_coordinates(store, "a", given)
+    assert rows(store.read("artifacts"), "id", "coordinates") == [(1, "g:a"), (2, "g:b")]
+
+
 def test_loader_artifacts(spark, store, rows):
     batch = Batch(spark, [("c1", "a", "1", "f1", "h1", "A", "x")])
     batch.run(store)

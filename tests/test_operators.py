@@ -10,7 +10,7 @@ from usagelens.operators import backfill, clean, closure, dictionary, flatten, i
 from usagelens.operators.filters import Filter
 from usagelens.schemas import CLASS_RECORD
 from usagelens.sinks import tables
-from usagelens.sources import archives, catalogue, datafiles, landing, metadata
+from usagelens.sources import archives, catalogue, datafiles, describe, landing, metadata
 
 # ------------------------------------------------------------------------ listing
 
@@ -512,7 +512,8 @@ def test_metadata_fallbacks(spark):
         (3, '{"mods":[{"modId":"m","displayName":"N","authors":" "}],"license":"L"}', None, None),
         (4, None, None, None),
     ]
-    df = spark.createDataFrame(rows_in, "id int, descriptor string, manifest string, fallback_version string").withColumn("coordinates", F.lit(None).cast("string"))
+    df = spark.createDataFrame(rows_in, "id int, descriptor string, manifest string, fallback_version string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("coordinates", "library_name")})
     got = {r.id: (r.version, r.name, r.ids, r.authors, r.license) for r in metadata.project_metadata(df).collect()}
     assert got == {
         1: ("9", "m", ["m"], None, None), 2: ("fb", "m", ["m"], None, None),
@@ -544,3 +545,38 @@ def test_archive_scan_with_nested_and_broken_archives(spark, tmp_path):
     }
     bad = [r for r in got if r.archive.endswith("bad.jar")]
     assert len(bad) == 1 and bad[0].error and bad[0].path is None
+
+
+def test_archives_to_metadata_tags_and_tree(spark, rows, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    def pack(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for path, content in members.items():
+                z.writestr(path, content)
+        return out.getvalue()
+
+    toml = 'license="MIT"\n[[mods]]\nmodId="m"\nversion="${file.jarVersion}"\nauthors="A"\n'
+    listed = lambda *names: json.dumps({"jars": [
+        {"identifier": {"group": "g", "artifact": n}, "version": {"artifactVersion": f"{i}.0"}, "path": f"{n}.jar"} for i, n in enumerate(names)]})
+    deep = pack({"META-INF/MANIFEST.MF": "FMLModType: GAMELIBRARY\r\nImplementation-Title: T\r\n"})
+    lib = pack({"META-INF/MANIFEST.MF": "FMLModType: LIBRARY\n", "p/A.class": "", "META-INF/jarjar/metadata.json": listed("deep"), "deep.jar": deep})
+    plain = pack({"x.txt": ""})
+    outer = pack({"META-INF/mods.toml": toml, "META-INF/MANIFEST.MF": "Implementation-Version: 7.\r\n 1\r\n\r\nName: a/b\r\nK: v: w\r\n",
+                  "META-INF/jarjar/metadata.json": listed("plain", "lib"), "lib.jar": lib, "plain.jar": plain, "data/n/tags/b/t.json": '{"values":["a"]}'})
+    (tmp_path / "o.jar").write_bytes(outer)
+    entries = archives.read_archives(spark, str(tmp_path))
+    found = describe.describe_archives(entries)
+    manifest = {r.container: r.manifest for r in found.collect()}
+    assert manifest[""] == '{"":{"Implementation-Version":"7.1"},"a/b":{"K":"v: w"}}'
+    meta = metadata.project_metadata(found.drop("archive", "metadata"))
+    assert rows(meta, "container", "version", "name", "authors", "license") == sorted([
+        ("", "7.1", "m", "A", "MIT"), ("!lib.jar", "1.0", "g:lib", None, None), ("!lib.jar!deep.jar", "0.0", "g:deep", None, None),
+    ], key=repr)
+    files = describe.data_files(entries).withColumn("artifact_id", F.lit(1))
+    assert rows(datafiles.tag_entries(files), "tag", "entry") == [("n/b/t", "minecraft:a")]
+    tree = nested.build_nested(describe.nested_edges(entries), 1).select("nested_tree").collect()[0][0]
+    assert tree == '[{"id":"g:plain","version":"0.0"},{"id":"g:lib","version":"1.0","nested":[{"id":"g:deep","version":"0.0"}]}]'

@@ -250,7 +250,7 @@ def metadata_projection(t: Tables) -> DataFrame:
     rows = t.part.select(
         col("p_partkey").alias("id"), descriptor.alias("descriptor"), manifest.alias("manifest"),
         F.when(col("p_size") > 10, F.concat(lit("fb"), size)).alias("fallback_version"),
-        lit(None).cast("string").alias("coordinates"),
+        lit(None).cast("string").alias("coordinates"), lit(None).cast("string").alias("library_name"),
     )
     return metadata.project_metadata(rows).withColumn("ids", F.array_join("ids", ", "))
 

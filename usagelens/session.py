@@ -19,6 +19,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # JSON objects with a repeated key keep the last value instead of failing.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # A repeated map key keeps the last value, as manifest attributes do.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

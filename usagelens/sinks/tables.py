@@ -74,7 +74,13 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 def write_buckets(table: DataFrame, path: str, key: str, buckets: int) -> None:
     """Lay a table out by key bucket, the unit a later replacement rewrites."""
-    table.withColumn(BUCKET, bucket_of(key, buckets)).write.partitionBy(BUCKET).parquet(path)
+    _by_bucket(table.withColumn(BUCKET, bucket_of(key, buckets))).write.partitionBy(BUCKET).parquet(path)
+
+
+def _by_bucket(table: DataFrame) -> DataFrame:
+    """Rows of a bucket together, by size: a hot bucket is split over several
+    tasks and files, small ones share a task."""
+    return table.hint("rebalance", BUCKET)
 
 
 def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str, buckets: int) -> None:
@@ -92,12 +98,10 @@ def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str,
         return
     keyed = new.withColumn(BUCKET, bucket_of(key, buckets))
     stored = spark.read.schema(keyed.schema).parquet(path).where(F.col(BUCKET).isin(*touched))
-    # The salt spreads one hot bucket over several files and tasks.
     merged = replace_by_key(stored, keyed, replaced, key)
-    spread = merged.repartition(F.col(BUCKET), F.pmod(F.xxhash64(*new.columns), F.lit(16)))
     filled = Observation()
     (
-        spread.observe(filled, F.collect_set(BUCKET).alias("buckets")).write.mode("overwrite")
+        _by_bucket(merged).observe(filled, F.collect_set(BUCKET).alias("buckets")).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     )
     for bucket in touched - set(filled.get["buckets"]):

@@ -15,7 +15,7 @@ LIST_BY_COORDINATE = "META-INF/jarjar/metadata.json"
 LIST_BY_FILE = "fabric.mod.json"
 
 ENTRY = (
-    "archive string, container string, depth int, position bigint, path string, "
+    "archive string, container string, depth int, place int, position bigint, path string, "
     "id string, version string, content binary, error string"
 )
 BATCH_BYTES = 8 << 20
@@ -42,20 +42,20 @@ def _own_id(jar: zipfile.ZipFile) -> tuple[str | None, str | None]:
     return described.get("id"), described.get("version")
 
 
-def _entries(archive: str, container: str, depth: int, ident, version, content: bytes) -> Iterator[tuple]:
+def _entries(archive: str, container: str, depth: int, place: int, ident, version, content: bytes) -> Iterator[tuple]:
     try:
         jar = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
-        yield archive, container, depth, 0, None, ident, version, None, str(e)
+        yield archive, container, depth, place, 0, None, ident, version, None, str(e)
         return
     with jar:
         for position, info in enumerate(i for i in jar.infolist() if not i.is_dir()):
-            yield archive, container, depth, position, info.filename, ident, version, jar.read(info), None
+            yield archive, container, depth, place, position, info.filename, ident, version, jar.read(info), None
         try:
             listed = list(_nested(jar))
         except (ValueError, KeyError, TypeError):
             listed = []  # an unreadable list means no nested archives
-        for path, inner_id, inner_version in listed:
+        for inner_place, (path, inner_id, inner_version) in enumerate(listed):
             inner = jar.read(path)
             if inner_id is None:
                 try:
@@ -65,7 +65,7 @@ def _entries(archive: str, container: str, depth: int, ident, version, content:
                     continue
                 if inner_id is None:
                     continue
-            yield from _entries(archive, f"{container}!{path}", depth + 1, inner_id, inner_version, inner)
+            yield from _entries(archive, f"{container}!{path}", depth + 1, inner_place, inner_id, inner_version, inner)
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,9 +73,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows, held = [], 0
         for archive, content in zip(batch["path"], batch["content"]):
-            for row in _entries(archive, "", 0, None, None, bytes(content)):
+            for row in _entries(archive, "", 0, 0, None, None, bytes(content)):
                 rows.append(row)
-                held += len(row[7] or b"")
+                held += len(row[8] or b"")
                 if held >= BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
@@ -87,8 +87,10 @@ def scan_archives(archives: DataFrame) -> DataFrame:
     """Entries of ``(path, content)`` archives.
 
     Spark spreads the archives; one archive at a time is opened in a task, and
-    entries leave it in batches of bounded bytes. An unreadable archive gives one
-    row with ``error`` and does not stop the others.
+    entries leave it in batches of bounded bytes. ``container`` is the chain of
+    nested archives an entry lies in, ``place`` the nested archive's place in the
+    list of its parent, and ``id`` and ``version`` what that list calls it. An
+    unreadable archive gives one row with ``error`` and does not stop the others.
     """
     return archives.select("path", "content").mapInPandas(_scan, ENTRY)
 

@@ -48,11 +48,15 @@ def from_flat_descriptor(content: Column) -> Column:
 
 
 def project_metadata(rows: DataFrame) -> DataFrame:
-    """Stored columns from ``(id, descriptor, manifest, fallback_version, coordinates)``.
+    """Stored columns from ``(id, descriptor, manifest, fallback_version, coordinates,
+    library_name)``; ``id`` may be any key columns.
 
     The archive version is the manifest's, else the caller's, else a constant;
-    the first listed part names the artifact and its version.
+    the first listed part names the artifact and its version. Without parts the
+    library name is used.
     """
+    inputs = ("descriptor", "manifest", "fallback_version", "coordinates", "library_name")
+    keys = [c for c in rows.columns if c not in inputs]
     doc, man = F.try_parse_json("descriptor"), F.try_parse_json("manifest")
     implementation = _get(man, "$['']['Implementation-Version']")
     parts = _get(F.col("doc"), "$.mods", "array<variant>")
@@ -65,9 +69,9 @@ def project_metadata(rows: DataFrame) -> DataFrame:
         .withColumn("parts", F.coalesce(parts, F.array().cast("array<variant>")))
         .withColumn("head", F.get("parts", F.lit(0)))
         .select(
-            "id",
+            *keys,
             F.when(F.col("head").isNull(), jar).otherwise(version(F.col("head"))).alias("version"),
-            F.coalesce(_get(F.col("head"), "$.displayName"), _get(F.col("head"), "$.modId"), F.lit("")).alias("name"),
+            F.coalesce(_get(F.col("head"), "$.displayName"), _get(F.col("head"), "$.modId"), "library_name", F.lit("")).alias("name"),
             F.transform("parts", lambda p: _get(p, "$.modId")).alias("ids"),
             join_authors(F.transform("parts", lambda p: _get(p, "$.authors"))).alias("authors"),
             _get(F.col("doc"), "$.license").alias("license"),
