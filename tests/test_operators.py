@@ -473,6 +473,11 @@ def test_merge_keeps_the_newer_and_the_first_on_a_tie(spark, rows):
     assert rows(moved) == [(1, "a"), (1, "b"), (9, "c")]
 
 
+def test_chained_and_mutual_merges_settle(spark, rows):
+    merges = spark.createDataFrame([(3, 2), (2, 1), (7, 6), (6, 5), (5, 6), (9, 8), (9, 4), (4, 8)], "old_id long, new_id long")
+    assert rows(resolve.settle_merges(merges)) == [(2, 1), (3, 1), (4, 8), (6, 5), (7, 5), (9, 8)]
+
+
 # -------------------------------------------------------------------------- backfills
 
 @pytest.mark.parametrize("text, expected", [

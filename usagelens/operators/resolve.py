@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.versions import version_key
 from ..session import materialize
+from .closure import descendants
 from .nested import expand_nested
 
 A, B = "a", "b"
@@ -246,13 +247,29 @@ def choose_survivor(pairs: DataFrame) -> DataFrame:
     )
 
 
+def settle_merges(merges: DataFrame) -> DataFrame:
+    """Merges that follow one another, turned into one step each.
+
+    Every ``old_id`` goes to the least artifact at the end of its chain. Artifacts
+    that only merge into each other keep the least of them.
+    """
+    merges = materialize(merges.select("old_id", "new_id").where("old_id <> new_id").distinct(), "merges")
+    edges = merges.select(F.col("old_id").alias("parent"), F.col("new_id").alias("child"))
+    reached = descendants(edges, merges.select(F.col("old_id").alias("root")))
+    ends = reached.join(merges.select(F.col("old_id").alias("node")).distinct().withColumn("moves", F.lit(True)), "node", "left")
+    settled = ends.groupBy(F.col("root").alias("old_id")).agg(
+        F.coalesce(F.min(F.when(F.col("moves").isNull(), F.col("node"))), F.min("node")).alias("new_id")
+    )
+    return settled.where("old_id <> new_id")
+
+
 def merge_entities(
     artifacts: DataFrame, known_files: DataFrame, merges: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Fold ``old_id`` into ``new_id``; returns artifacts and known files.
 
     The old artifact's known files move over, it disappears, and the survivor
-    takes the project id it lacks. Its fact rows go with ``cascade_delete``.
+    takes the project id it lacks. Chains of merges go through ``settle_merges``. Its fact rows go with ``cascade_delete``.
     """
     gone = merges.select(F.col("old_id").alias("id"), "new_id")
     moved = (
