@@ -17,9 +17,11 @@ def no_broadcast(spark):
     names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     for n in names:
         spark.conf.set(n, "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
     yield
     for n in names:
         spark.conf.unset(n)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def hot(spark, n=N):
@@ -65,13 +67,15 @@ def test_lookup_splits_the_hot_name(spark):
         "id", F.col("id").cast("int").alias("int_project_id"), F.lit(None).cast("string").alias("text_project_id"),
         F.lit(None).cast("string").alias("coordinates"), F.lit(False).alias("loader"), F.concat("k", F.lit("-name")).alias("name"))
     requests = spark.createDataFrame([(lookups.NAME, "0-name"), (lookups.INT_ID, "5")], "kind string, key string")
-    assert lookups.lookup(requests, artifacts).count() == ZEROS + 1
+    found = lookups.lookup(requests, artifacts)
+    assert found.count() == ZEROS + 1 and is_split(found)
 
 
 def test_repeated_names_keep_every_row(spark):
     named = hot(spark).select("id", F.col("k").cast("string").alias("name"), "load")
     counts = named.groupBy("name").count().where("count > 1").agg(F.sum("count")).first()[0]
-    assert lookups.duplicate_names(named).count() == counts
+    repeated = lookups.duplicate_names(named)
+    assert repeated.count() == counts and is_split(repeated)
 
 
 def test_newest_version_of_a_hot_id(spark):
@@ -135,3 +139,24 @@ def test_removable_members_of_a_hot_artifact(spark):
         "k as artifact_id", "id as position", "concat('c', id) as name", "'p' as super", "cast(array() as array<string>) as interfaces", f"array({member}) as methods")
     got = clean.removable_members(records, "methods")
     assert got.count() == records.where("(id % 16) & 5 = 0 or (id % 16) & 8 <> 0").count()
+
+
+def test_other_joins_with_an_aggregated_side_are_split(spark):
+    rows = hot(spark)
+    described = rows.select(F.concat(F.lit("(Lx/"), "k", F.lit(";)V")).alias("d"), "id", "load")
+    mapping = spark.createDataFrame([("x/0", "y/0")], "original string, mapped string")
+    done = remap.remap_descriptors(described, "d", mapping, "x/")
+    assert done.where("d = '(Ly/0;)V'").count() == ZEROS and is_split(done)
+
+    contained = rows.select("id", F.array("id").alias("first_seen"), F.col("k").alias("fingerprint"), "load")
+    files = rows.select(F.col("k").alias("fingerprint"), F.col("id").alias("position"), F.col("id").alias("file_id"), F.lit("p").alias("project_id"))
+    matched = resolve.match_fingerprints(contained, files, first_only=False)
+    assert matched.count() == N and is_split(matched)
+
+    digests = rows.select(F.col("load").alias("archive"), F.col("k").alias("digest_0"))
+    copies = resolve.same_content(digests, "archive")
+    assert copies.agg(F.max("copies")).first()[0] == ZEROS and is_split(copies)
+
+    keys = rows.where("k <> 0").select("k")
+    left = tables.replace_by_key(rows, rows.where("false"), keys, "k")
+    assert left.count() == ZEROS and is_split(left)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import materialize
 
 INT_ID, TEXT_ID, COORDINATE = "int_id", "text_id", "coordinate"
 LOADER_COORDINATE, NAME = "loader_coordinate", "name"
@@ -23,7 +25,8 @@ def lookup_keys(artifacts: DataFrame) -> DataFrame:
 
 def lookup(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Artifacts for ``requests(kind, key)``; many artifacts may share a key."""
-    return requests.select("kind", "key").distinct().join(lookup_keys(artifacts), ["kind", "key"])
+    asked = materialize(requests.select("kind", "key").distinct(), "requests")
+    return asked.join(lookup_keys(artifacts), ["kind", "key"])
 
 
 def by_hash(hashes: DataFrame, known_files: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def duplicate_names(artifacts: DataFrame, key: str = "name", at_least: int = 2)
     repeated = (
         artifacts.groupBy(key).agg(F.count("id").alias("copies")).where(F.col("copies") >= at_least)
     )
-    return artifacts.join(repeated, key).orderBy(key, "id")
+    return artifacts.join(materialize(repeated, "repeated"), key).orderBy(key, "id")
 
 
 def changed_versions(latest: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -34,6 +34,8 @@ def match_fingerprints(contained: DataFrame, files: DataFrame, first_only: bool
         contained = contained.groupBy("fingerprint").agg(
             F.min_by(F.struct("id", "first_seen"), F.struct("first_seen", "id")).alias("c")
         ).select("fingerprint", "c.*")
+    else:
+        listed = materialize(listed, "listed")
     return contained.join(listed, "fingerprint")
 
 
@@ -151,7 +153,7 @@ def same_name_matches(
     one row per distinct content, and never all pairs of that name.
     """
     listed = candidates.where(F.col("catalogue").isNotNull())
-    names = listed.select(F.col("display_name").alias("name")).distinct()
+    names = materialize(listed.select(F.col("display_name").alias("name")).distinct(), "names")
     other = _one_sided(artifacts, names)
 
     def matches(own: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def same_name_matches(
             .groupBy(F.col("lacking").alias("catalogue"), F.col("name").alias("display_name"), "content")
             .agg(F.min("id").alias("artifact_id"))
         )
-        return own.join(offered, ["catalogue", "display_name", "content"]).select("candidate_id", "artifact_id")
+        return own.join(materialize(offered, "offered"), ["catalogue", "display_name", "content"]).select("candidate_id", "artifact_id")
 
     files = project_files.select("catalogue", "project_id", F.col("sha1").alias("content")).distinct()
     own_files = listed.select("candidate_id", "catalogue", "project_id", "display_name").join(
@@ -331,4 +333,5 @@ def same_content(digests: DataFrame, key: str) -> DataFrame:
     """
     digest = [c for c in digests.columns if c != key]
     groups = digests.groupBy(*digest).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"))
-    return digests.join(groups.where("copies > 1"), digest).select(key, "first", "copies")
+    copied = materialize(groups.where("copies > 1"), "copies")
+    return digests.join(copied, digest).select(key, "first", "copies")

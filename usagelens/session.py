@@ -71,7 +71,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Lineage ends at files that survive executors, and Catalyst sees their real
-    size, so its broadcast decisions rest on measured bytes.
+    size, so its broadcast decisions rest on measured bytes. It also lets AQE split
+    a hot key on the other side of a join: AQE only splits joins of two plain
+    shuffles, not ones where a side was aggregated by the join key just before.
     """
     spark = df.sparkSession
     path = new_path(spark, label)

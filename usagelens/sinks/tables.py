@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from ..session import materialize
+
 
 def replace_by_key(current: DataFrame, new: DataFrame, replaced: DataFrame, key: str) -> DataFrame:
     """Drop the rows of every replaced key, add the new rows.
 
     ``replaced`` lists the keys, so a key without new rows is emptied.
     """
-    return current.join(replaced.select(key).distinct(), key, "left_anti").select(current.columns).unionByName(new)
+    gone = materialize(replaced.select(key).distinct(), "replaced")
+    return current.join(gone, key, "left_anti").select(current.columns).unionByName(new)
 
 
 def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str = "artifact_id") -> dict[str, DataFrame]:
@@ -18,7 +21,7 @@ def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame, key: str =
 
     Facts carry the artifact id, so no chain of parent tables is walked.
     """
-    gone = deleted.select(key).distinct()
+    gone = materialize(deleted.select(key).distinct(), "deleted")
     return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
 
 
