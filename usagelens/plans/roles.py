@@ -17,6 +17,13 @@ def text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table whose files split into fewer pieces than there are cores, over all
+    cores. Tables with enough pieces are left as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 # ------------------------------------------------------------------- artifacts
 
 ARTIFACTS = """
@@ -187,7 +194,8 @@ def records(t: Tables) -> DataFrame:
         owner.alias("owner"), n.alias("name"), lit(d).alias("desc"), c.cast("int").alias("count")
     )
     field, method = F.concat(lit("f"), digit), F.concat(lit("m"), digit)
-    return t.lineitem.select(
+    line_items = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    return line_items.select(
         col("l_orderkey").alias("artifact_id"),
         (col("l_linenumber").cast("bigint") * 1000000000 + supplier * 1000 + quantity).alias("position"),
         name.alias("name"),

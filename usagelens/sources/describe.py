@@ -9,7 +9,7 @@ from .metadata import from_flat_descriptor
 
 # Entries that describe an archive.
 MANIFEST = "META-INF/MANIFEST.MF"
-TOML_DESCRIPTORS = ("META-INF/neoforge.mods.toml", "META-INF/mods.toml")
+TOML_DESCRIPTOR = "META-INF/mods.toml"
 JSON_DESCRIPTOR = "fabric.mod.json"
 LIBRARY_ATTRIBUTE = "FMLModType"
 
@@ -33,16 +33,19 @@ def manifest_json(text: Column) -> Column:
     return F.to_json(F.map_concat(main, F.map_from_entries(F.transform(named, entry))))
 
 
-def describe_archives(entries: DataFrame, services: tuple[str, ...] = ()) -> DataFrame:
+def describe_archives(
+    entries: DataFrame, toml_descriptor: str = TOML_DESCRIPTOR, services: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per archive, nested ones included, that is an artifact.
 
     An archive counts when its descriptor lists parts, or when its manifest or
-    one of the ``services`` files marks it as a library. The result feeds
+    one of the ``services`` files marks it as a library. Loaders differ in the
+    path of their TOML descriptor and in their services. The result feeds
     ``project_metadata``; a library is named by its coordinates, else its
     manifest title, else its first class.
     """
     path = F.col("path")
-    toml, flat = path.isin(*TOML_DESCRIPTORS), path == JSON_DESCRIPTOR
+    toml, flat = path == toml_descriptor, path == JSON_DESCRIPTOR
     text = F.col("content").cast("string")
     pick = lambda test: F.max(F.when(test, text))
     is_class = F.endswith(path, F.lit(".class"))
@@ -50,7 +53,7 @@ def describe_archives(entries: DataFrame, services: tuple[str, ...] = ()) -> Dat
         pick(toml).alias("toml"), pick(flat).alias("flat"), pick(path == MANIFEST).alias("manifest_text"),
         F.min_by("path", F.when(is_class, F.col("position"))).alias("first_class"),
         F.max("id").alias("coordinates"), F.max("version").alias("fallback_version"),
-        F.max(path.isin(*[f"META-INF/services/{s}" for s in services])).alias("has_service"),
+        F.max(path.isin([f"META-INF/services/{s}" for s in services])).alias("has_service"),
     )
     described = found.withColumns({
         "descriptor": F.coalesce(toml_to_json("toml"), from_flat_descriptor(F.col("flat"))),
