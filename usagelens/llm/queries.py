@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, token_ids, toxicity
+from . import chunk_dedup, packing, quality, simhash, token_ids, toxicity
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2)
+
+
+SAME_TEXTS = """
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)"""
+
+
+@query("op3_exact_dedup", SAME_TEXTS)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal but for white space."""
+    return chunk_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
