@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, packing, quality, simhash, token_ids, toxicity
+from . import chunk_dedup, packing, quality, simhash, syncmers, token_ids, toxicity
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_syncmers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.neighbours(table(spark, sf_dir, "documents"))
