@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, packing, quality, simhash, syncmers, token_ids, toxicity
+from . import chunk_dedup, packing, quality, sharding, simhash, syncmers, token_ids, toxicity
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return syncmers.neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal counts."""
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
