@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, packing, quality, sharding, simhash, syncmers, token_ids, toxicity
+from . import chunk_dedup, html_text, packing, quality, sharding, simhash, syncmers, token_ids, toxicity
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of equal counts."""
     return sharding.assign(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query("op2_html_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
