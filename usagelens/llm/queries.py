@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, html_text, packing, quality, sharding, simhash, syncmers, token_ids, toxicity
+from . import chunk_dedup, html_text, max_plus, packing, quality, sharding, simhash, syncmers, token_ids, toxicity
 from .common import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_max_plus")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents, and what they decode to."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return max_plus.digests(max_plus.encode(table(spark, sf_dir, "documents"), path), path)
