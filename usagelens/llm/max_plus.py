@@ -169,7 +169,7 @@ class Model:
         """
         units = _UNIT.findall(text)
         known = self.units
-        new = set(units) - known.keys()
+        new = {unit for unit in set(units) if unit not in known}
         if len(known) + len(new) > MEMORY:
             known.clear()
             new = set(units)

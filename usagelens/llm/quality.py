@@ -133,7 +133,7 @@ class Scorer:
     def score_many(self, texts: list[str]) -> np.ndarray:
         cut = [text.split() for text in texts]
         kinds = [set(words) for words in cut]
-        new = set().union(*kinds) - self.words.keys()
+        new = {word for word in set().union(*kinds) if word not in self.words}
         if len(self.words) + len(new) > MEMORY:
             self.words.clear()
             new = set().union(*kinds)

@@ -82,7 +82,8 @@ class TextEncoder:
         ]
 
     def _new(self, cut: list[list[str] | None]) -> set[str]:
-        return set().union(*[words for words in cut if words is not None]) - self.parts.keys()
+        parts = self.parts
+        return {word for word in set().union(*[words for words in cut if words is not None]) if word not in parts}
 
     def _pretokens(self, text: str) -> list[str] | None:
         if self.kind == "other" or UNSURE.search(text) or any(token in text for token in self.special):
@@ -96,7 +97,7 @@ class TextEncoder:
     def _learn(self, new: set[str]) -> None:
         together = [part for part in new if self.kind == "word ends" or part[0] == " " and len(part) > 1 and part[1] != " "]
         self._learn_parts(together)
-        for part in new - self.parts.keys():
+        for part in [part for part in new if part not in self.parts]:
             self.parts[part] = self._bytes(self.plain.encode(part, add_special_tokens=False).ids)
 
     def _learn_parts(self, led: list[str]) -> None:
