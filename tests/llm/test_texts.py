@@ -1,0 +1,183 @@
+"""Tokens, packing, SentencePiece and web pages against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
+
+from usagelens.llm import html_text, max_plus, packing, token_ids
+from usagelens.llm.tokenizers_memo import TextEncoder
+from usagelens.session import new_path
+
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+PIECE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def plain_ids(path, text):
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+ODD_TEXTS = [
+    "", " ", "  a ", " a b  c", "a\n b \n c\n", "it's  'll we'll x's 's", "\t\n", "é é İSTANBUL ΑΣΣ ﬁ ① ½ 12 3a", "日本語 テキスト abc",
+    "x<|endoftext|>y <|startoftext|>", "a\x85b \x1c c\x00d", "____ --- ...!!! 'S it'S", "🙂👩‍👩‍👧", "a" * 3000, "Привет, мир",
+]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_remembered_words_equal_whole_texts(path):
+    made, plain = TextEncoder(path, memory=50), Tokenizer.from_file(path)
+    rng = random.Random(1)
+    texts = ODD_TEXTS + [" ".join(rng.choices(ODD_TEXTS, k=4)) for _ in range(200)]
+    for text, ids in zip(texts, made.encode_many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
+def test_numbers_come_back(n):
+    rng = np.random.default_rng(n)
+    values = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n, dtype=np.uint64)).astype(np.uint32)
+    control, data = token_ids.pack(values)
+    assert len(control) == -(-n // 4)
+    assert token_ids.unpack(control, data, n).tolist() == values.tolist()
+
+
+def test_token_files(llm, small, monkeypatch):
+    docs, texts = small
+    monkeypatch.setattr(token_ids, "BLOCK_IDS", 5000)
+    path = new_path(llm, "test")
+    token_ids.write(docs, path, WORD)
+    plain, start = Tokenizer.from_file(WORD), 0
+    found = {r["doc_id"]: r for r in token_ids.read(llm, path).collect()}
+    digests = {r["doc_id"]: r["ids_crc32"] for r in token_ids.digests(llm, path).collect()}
+    for doc_id in sorted(texts):
+        ids = plain.encode(texts[doc_id], add_special_tokens=False).ids + [1]
+        assert (found[doc_id]["start"], found[doc_id]["n_tokens"], list(found[doc_id]["ids"])) == (start, len(ids), ids)
+        assert digests[doc_id] == crc(ids)
+        start += len(ids)
+
+
+def test_token_files_of_odd_rows(odd, none):
+    rows = token_ids.round_trip(odd, WORD).collect()
+    assert len(rows) == odd.count()
+    ordered = sorted(rows, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in ordered[:2]] == [None, None]
+    assert [r["n_tokens"] for r in rows if r["doc_id"] == 2] == [1, 1]
+    assert [a["start"] + a["n_tokens"] for a in ordered[:-1]] == [b["start"] for b in ordered[1:]]
+    assert token_ids.round_trip(none, WORD).count() == 0
+
+
+def packed_right(rows, texts, size):
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    for doc_id, found in by_doc.items():
+        ids, start = plain_ids(BYTE, texts[doc_id]) + [0], 0
+        for piece, r in enumerate(sorted(found, key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (piece, start)
+            assert r["ids_crc32"] == crc(ids[start:start + r["length"]])
+            start += r["length"]
+        assert start == len(ids)
+        assert all(r["length"] == size for r in found if r["piece"])
+        assert len(ids) > size or len(found) == 1
+    for found in by_sequence.values():
+        at = 0
+        for r in sorted(found, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= size
+    return len(by_sequence)
+
+
+def test_packing(small, monkeypatch):
+    docs, texts = small
+    monkeypatch.setattr(packing, "GROUP", 60)
+    rows = packing.pack_documents(docs, BYTE, size=512).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    sequences = packed_right(rows, texts, 512)
+    assert sequences <= -(-sum(r["length"] for r in rows) // 512) + 3
+
+
+def test_packing_odd_rows(odd, none):
+    rows = packing.pack_documents(odd, BYTE).collect()
+    assert sum(r["length"] == 1 for r in rows) == 4  # the end ids of null and empty texts
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    assert packing.pack_documents(none, BYTE).count() == 0
+
+
+def test_local_search_beats_best_fit():
+    assert len(packing.best_fit([6, 5, 4, 4, 3, 3, 3, 2], 10)) == 4
+    assert len(packing.pack_sizes([6, 5, 4, 4, 3, 3, 3, 2], 10)) == 3
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(300, 1000, 3000).tolist()
+    bins = packing.pack_sizes(sizes, 2048)
+    assert sorted(i for content in bins for i in content) == list(range(3000))
+    assert all(sum(sizes[i] for i in content) <= 2048 for content in bins)
+    assert len(bins) <= len(packing.best_fit(sizes, 2048))
+
+
+def test_pieces_equal_the_library(llm, small):
+    docs, texts = small
+    library = SentencePieceProcessor(model_file=PIECE)
+    rng = random.Random(4)
+    words = ["the", " ", "  ", "   ", "ing", "日本", "①", "\n", "Aeaa", "....", "é", "tion", "🙂", " " * 40, "▁"]
+    more = {10_000 + i: "".join(rng.choices(words, k=rng.randint(1, 150))) for i in range(120)}
+    more |= {20_000 + i: "".join(rng.choices("abcdeainthe", k=400)) for i in range(20)}
+    more |= {30_000: " " * 500, 30_001: "日本語" * 100, 30_002: "a" * 777}
+    table = docs.select("doc_id", "text").union(llm.createDataFrame(list(more.items()), "doc_id bigint, text string"))
+    for chunk in (64, 100_000):
+        found = {r["doc_id"]: bytes(r["ids"]) for r in max_plus.encode(table, PIECE, chunk=chunk).collect()}
+        for doc_id, text in (texts | more).items():
+            assert found[doc_id] == np.array(library.encode(text), "<u4").tobytes(), (chunk, doc_id)
+
+
+def test_pieces_decode(odd, none):
+    rows = max_plus.digests(max_plus.encode(odd, PIECE, chunk=1000), PIECE).collect()
+    assert len(rows) == odd.count()
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted(r["decoded_sha256"] for r in rows) == sorted(sha(r["text"]) for r in odd.collect())
+    assert max_plus.encode(none, PIECE).count() == 0
+
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><header class="top">Site {n}</header>'
+    '<nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><article><h1>Title {n}</h1>'
+    '<div class="share">Share {n}</div><p>First &amp;  <b>bold</b>\n text {n}<br>next<p>Second {n}</p><ul><li>one {n}<li>two {n}</ul>'
+    '<form><input value="x">Ask {n}</form><section class="comments"><p>I disagree {n}</p></section></article>'
+    '<aside>Side {n}</aside><footer>&copy; {n}</footer>'
+)
+WANTED = "Title {n}\nFirst & bold text {n} next\nSecond {n}\none {n}\ntwo {n}"
+
+
+def test_pages(llm):
+    rows = [(n, f"http://h{n % 3}.org/{n}", PAGE.format(n=n)) for n in range(60)] + [(None, None, None), (99, "http://h1.org", "")]
+    found = {r["page_id"]: r for r in html_text.extract(llm.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert all(found[n]["text"] == WANTED.format(n=n) for n in range(60))
+    assert (found[None]["text"], found[99]["n_chars"]) == ("", 0)
+    assert html_text.extract(llm.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_template_is_what_a_host_repeats(llm):
+    """No element names itself: only the repetition tells template from content."""
+    page = "<body><div><p>Welcome to us</p></div><div><h2>News {n}</h2><p>Story {n}</p></div><div><p>All rights</p></div></body>"
+    rows = [(n, "https://one.org/x", page.format(n=n)) for n in range(40)]
+    pages = llm.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract(pages.repartition(5)).collect()}
+    assert found == {n: f"News {n}\nStory {n}" for n in range(40)}
+
+
+def test_tree_matching():
+    a, b = (html_text.read(t)[0] for t in ("<div><h1>x</h1><p>y</p><table>z</table></div>", "<div><p>y</p><ul><li>q</li></ul><table>z</table></div>"))
+    size, pairs = html_text.match(a.children[0], b.children[0])
+    assert (size, pairs) == (3, [(1, 0), (2, 2)])

@@ -24,6 +24,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +35,8 @@ from .common import whole_text
 
 FEW = 8
 SKETCH = 48
-CONSTANT = 0.4  # of the variety of the host's most varied node
+CONSTANT = 0.3  # of the variety of the host's most varied node
+CONSTANT_INSIDE = 0.05  # the same inside a marked article
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S
 )
@@ -64,13 +66,19 @@ NAMED = re.compile(
 )
 
 
+def text_hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 class Node:
     """A kind of block element at its place: how many texts it has, and the least hashes of different ones."""
 
-    __slots__ = ("kind", "children", "texts", "hashes")
+    __slots__ = ("kind", "children", "texts", "hashes", "counts", "trees")
 
     def __init__(self, kind: str):
         self.kind, self.children, self.texts, self.hashes = kind, [], 0, set()
+        self.counts: Counter = Counter()
+        self.trees = 1
 
     def child(self, kind: str) -> "Node":
         for node in self.children:
@@ -80,10 +88,25 @@ class Node:
         return self.children[-1]
 
     def add(self, text: str) -> None:
+        value = text_hash(text)
         self.texts += 1
-        self.hashes.add(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+        self.hashes.add(value)
+        self.counts[value] += 1
+        self.trim()
+
+    def join(self, other: "Node") -> None:
+        """Take over what another node has counted."""
+        self.texts += other.texts
+        self.hashes |= other.hashes
+        self.counts.update(other.counts)
+        self.trim()
+
+    def trim(self) -> None:
         if len(self.hashes) > 2 * SKETCH:
             self.hashes = set(sorted(self.hashes)[:SKETCH])
+        if len(self.counts) > 4 * SKETCH:
+            # What fills half of the pages is among the most frequent at any time.
+            self.counts = Counter(dict(sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[:SKETCH]))
 
     def variety(self) -> float:
         """Estimated share of different texts."""
@@ -92,12 +115,15 @@ class Node:
         return min(1.0, kinds / self.texts) if self.texts else 0.0
 
     def packed(self) -> list:
-        return [self.kind, self.texts, sorted(self.hashes)[:SKETCH], [node.packed() for node in self.children]]
+        counts = sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[:SKETCH]
+        return [self.kind, self.texts, self.trees, sorted(self.hashes)[:SKETCH], counts, [node.packed() for node in self.children]]
 
     @staticmethod
     def unpacked(data: list) -> "Node":
         node = Node(data[0])
-        node.texts, node.hashes, node.children = data[1], set(data[2]), [Node.unpacked(c) for c in data[3]]
+        _, node.texts, node.trees, hashes, counts, children = data
+        node.hashes, node.counts = set(hashes), Counter(dict(map(tuple, counts)))
+        node.children = [Node.unpacked(child) for child in children]
         return node
 
 
@@ -204,10 +230,8 @@ def merge(wrapper: Node, page: Node) -> dict[Node, Node]:
     Nodes that the alignment leaves over join a brother of their kind, or become new brothers.
     """
     place = {page: wrapper}
-    wrapper.texts += page.texts
-    wrapper.hashes |= page.hashes
-    if len(wrapper.hashes) > 2 * SKETCH:
-        wrapper.hashes = set(sorted(wrapper.hashes)[:SKETCH])
+    wrapper.join(page)
+    wrapper.trees += page.trees
     _, pairs = match(wrapper, page)
     known = {j: wrapper.children[i] for i, j in pairs}
     for j, node in enumerate(page.children):
@@ -226,8 +250,11 @@ def located(wrapper: Node, page: Node) -> dict[Node, Node]:
     return place
 
 
-def content_nodes(wrapper: Node) -> set[int]:
-    """The wrapper's nodes whose texts are content, by identity."""
+def content_nodes(wrapper: Node) -> dict[int, frozenset[int]]:
+    """The wrapper's nodes whose texts are content, by identity, with the hashes of texts that are not.
+
+    Outside a marked article, a text that fills its place on half of the pages is template too.
+    """
     slots: list[tuple[Node, bool, bool]] = []
 
     def visit(node: Node, hidden: bool, article: bool) -> None:
@@ -244,7 +271,12 @@ def content_nodes(wrapper: Node) -> set[int]:
     marked = any(article and not hidden for _, hidden, article in slots)
     free = [node for node, hidden, article in slots if not hidden and (article or not marked)]
     most = max((node.variety() for node in free if node.texts >= FEW), default=0.0)
-    return {id(node) for node in free if node.texts < FEW or node.variety() >= CONSTANT * most}
+    least = most * (CONSTANT_INSIDE if marked else CONSTANT)
+    often = wrapper.trees / 2 if wrapper.trees >= FEW and not marked else float("inf")
+    return {
+        id(node): frozenset(value for value, n in node.counts.items() if n >= often)
+        for node in free if node.texts < FEW or node.variety() >= least
+    }
 
 
 def host(url: str = "url") -> Column:
@@ -292,11 +324,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for page, wrapper in zip(pages, found):
             if wrapper not in ready:
                 root = Node.unpacked(json.loads(wrapper))
-                ready = {wrapper: (root, content_nodes(root))} if len(ready) > 256 else ready | {wrapper: (root, content_nodes(root))}
+                if len(ready) > 256:
+                    ready.clear()
+                ready[wrapper] = (root, content_nodes(root))
             root, content = ready[wrapper]
             tree, blocks = read(page)
             place = located(root, tree)
-            texts.append("\n".join(text for node, text in blocks if node in place and id(place[node]) in content))
+            slots = [(content.get(id(place[node])) if node in place else None, text) for node, text in blocks]
+            texts.append("\n".join(text for skip, text in slots if skip is not None and text_hash(text) not in skip))
         return pd.Series(texts, dtype="object")
 
     texts = rows.select("page_id", "url", main_text("html", "wrapper").alias("text"))
