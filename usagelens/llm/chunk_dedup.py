@@ -29,7 +29,10 @@ def normalised(text: str = "text") -> Column:
 
 
 def chunks(text: Column, every: int = EVERY) -> Column:
-    """Chunks of a normalised text. A second space, which no such text has, marks a cut."""
+    """Chunks of a normalised text. A second space, which no such text has, marks a cut.
+
+    Joined by spaces they are the text, with one space more if its last word asks for a cut.
+    """
     marked = F.transform(F.split(text, " "), lambda w: F.when(F.pmod(F.xxhash64(w), F.lit(every)) == 0, F.concat(w, F.lit(" "))).otherwise(w))
     return F.split(F.array_join(marked, " "), "  ")
 
@@ -89,5 +92,7 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their own columns."""
     found = groups(docs)
-    kept = materialize(found.where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    kept = materialize(found.where("kept").select("doc_id", "text_sha256").distinct(), "kept")
+    # Ids may repeat, so a row stays by its id and text.
+    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.sha2(normalised(), 256) == kept["text_sha256"])
+    return docs.join(kept, same, "left_semi").select(*docs.columns)

@@ -33,7 +33,7 @@ from .common import crc_remainder, whole_text
 SAMPLE = 6_000
 BUCKETS = 1 << 17
 WIDTH = 8
-EPOCHS = 8
+STEPS = 3_000
 RATE = 0.4
 BATCH = 16
 SEED = 5
@@ -91,13 +91,12 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray) -> np.ndarray
     docs = [document_features(text) for text in texts]
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     output, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
-    steps = EPOCHS * -(-len(docs) // BATCH)
     step = 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
             some = order[at:at + BATCH]
-            rate = RATE * BATCH * (1 - step / steps)
+            rate = RATE * BATCH * max(0.0, 1 - step / STEPS)
             step += 1
             buckets = np.concatenate([docs[i][0] for i in some])
             shares = np.concatenate([docs[i][1] for i in some])

@@ -94,6 +94,8 @@ def fit(toxic: list[str], unlabelled: list[str], prior: float) -> dict:
     """Weights of the evidence, and the bias."""
     # Copies of one document are no independent observations.
     positive, rest = _apart([words_of(text) for text in toxic]), _apart([words_of(text) for text in unlabelled])
+    if not positive or not rest:
+        return {"bias": float(np.log(prior / (1 - prior))), "weights": {}}
     names = _telling(positive, rest)
     places = {e: i for i, e in enumerate(names)}
     groups = _matrix(positive, places), _matrix(rest, places)
