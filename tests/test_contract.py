@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -31,4 +33,5 @@ def test_entry_has_rows(spark):
 
 
 def test_only_expected_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"content_fingerprints"}
+    own = {name for name in QUERIES if not re.fullmatch(r"op\d+_.*|pipeline", name)}
+    assert own <= set(ORACLES)

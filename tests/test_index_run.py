@@ -18,7 +18,7 @@ CANDIDATE = ("candidate_id string, catalogue string, project_id string, file_id
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return Store(spark, str(tmp_path / "index"), 4).create()
+    return Store(spark, str(tmp_path / "index")).create()
 
 
 class Batch:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from usagelens.operators import backfill, clean, closure, dictionary, flatten, incremental, listing, lookups, nested, remap, resolve
 from usagelens.operators.filters import Filter
 from usagelens.schemas import CLASS_RECORD
-from usagelens.sinks import tables
+from usagelens.functions.jsonvalues import canonical_json
+from usagelens.sinks import generations, tables
 from usagelens.sources import archives, catalogue, datafiles, describe, landing, metadata
 
 # ------------------------------------------------------------------------ listing
@@ -103,12 +104,10 @@ def test_descendants_on_cycles(spark, rows, root, expected):
     assert rows(got, "node") == [(n,) for n in expected]
 
 
-def test_descendants_of_a_long_chain_and_round_limit(spark):
-    edges = spark.range(12).selectExpr("id as parent", "id + 1 as child")
+def test_descendants_of_a_long_chain(spark):
+    edges = spark.range(40).selectExpr("id as parent", "id + 1 as child")
     root = spark.createDataFrame([(0,)], "root long")
-    assert closure.descendants(edges, root).count() == 12
-    with pytest.raises(RuntimeError):
-        closure.descendants(edges, root, max_rounds=3)
+    assert closure.descendants(edges, root).count() == 40
 
 
 def test_descendants_of_a_hub_with_most_edges(spark):
@@ -377,10 +376,47 @@ def test_bucketed_replacement_leaves_other_buckets_and_empties_some(spark, rows,
         tables.replace_in_buckets(new, keys, path, "k", 8)
         assert rows(spark.read.parquet(path), "k", "v") == rows(tables.replace_by_key(current, new, keys, "k"))
     assert len({d for d, _ in before & files()}) == 7
+    for wrong in (keys.where("false"), spark.createDataFrame([(2,)], "k int")):
+        with pytest.raises(ValueError):
+            tables.replace_in_buckets(new, wrong, path, "k", 8)
     tables.replace_in_buckets(new.where("false"), current.select("k"), path, "k", 8)
     assert spark.read.schema(current.schema).parquet(path).count() == 0
 
 
+def test_generations_replace_as_a_whole(spark, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    current = spark.range(40).selectExpr("cast(id as int) as k", "concat('v', id) as v")
+    generations.create(current, path, "k")
+    read = lambda: rows(generations.read(spark, path, current.schema, "k"))
+    keys, new = spark.createDataFrame([(1,), (2,), (77,)], "k int"), spark.createDataFrame([(1, "new"), (77, "x")], "k int, v string")
+    wanted = rows(tables.replace_by_key(current, new, keys, "k"))
+    # A run that ends before it publishes changes nothing, and can be repeated.
+    publish = generations.publish
+    monkeypatch.setattr(generations, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        generations.replace(new, keys, path, "k")
+    assert read() == rows(current)
+    monkeypatch.setattr(generations, "publish", publish)
+    for _ in range(2):
+        generations.replace(new, keys, path, "k")
+        assert read() == wanted
+    with pytest.raises(ValueError):
+        generations.replace(new, keys.where("k = 1"), path, "k")
+    generations.replace(new, keys, path, "k")
+    generations.compact(spark, path, current.schema, "k", str(tmp_path / "c"))
+    assert rows(generations.read(spark, str(tmp_path / "c"), current.schema, "k")) == wanted
+
+
+def test_one_spelling_for_each_json_value(spark):
+    spelled = {
+        "1e10": "10000000000", "10000000000": "10000000000", "1e-7": "1E-7", "0.0000001": "1E-7", "1.50": "1.5", "-0.0": "0",
+        "1" * 41: "1" * 41 + "E0", "1" * 40 + "2": "1" * 40 + "2E0", '{"b":1E2,"a":["x1.0", 1.0]}': '{"a":["x1.0",1],"b":100}',
+        "null": "null", '{"a":1} junk': None, "1,2": None, "01": None, "1],[2": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in spelled], "t string")
+    assert {r[0]: r[1] for r in df.select("t", canonical_json(F.col("t"))).collect()} == spelled
+
+
 def test_insert_if_absent_keeps_old_dates(spark, rows):
     current = spark.createDataFrame([("a", 1)], "k string, d int")
     new = spark.createDataFrame([("a", 9), ("b", 5), ("b", 4)], "k string, d int")
@@ -483,7 +519,10 @@ def test_chained_and_mutual_merges_settle(spark, rows):
 @pytest.mark.parametrize("text, expected", [
     ("g:a (g:b, g:c (g:d)), g:e", '[{"id":"g:a","nested":[{"id":"g:b"},{"id":"g:c","nested":[{"id":"g:d"}]}]},{"id":"g:e"}]'),
     ("", None), (None, None), ("a", '[{"id":"a"}]'), ("a (b", '[{"id":"a","nested":[{"id":"b"}]}]'), ("a (b))", '[{"id":"a","nested":[{"id":"b"}]}]'),
-    ('a"b', '[{"id":"a\\"b"}]'),
+    ('a"b', '[{"id":"a\\"b"}]'), ("a (b)) , c", '[{"id":"a","nested":[{"id":"b"}]},{"id":"c"}]'),
+    ("a (b) c", '[{"id":"ac","nested":[{"id":"b"}]}]'), ("a,,b", '[{"id":"a"},{"id":""},{"id":"b"}]'), ("a,", '[{"id":"a"},{"id":""}]'),
+    ("(b)", '[{"id":"","nested":[{"id":"b"}]}]'), ("a (b,)", '[{"id":"a","nested":[{"id":"b"},{"id":""}]}]'),
+    ("a ()", '[{"id":"a","nested":[{"id":""}]}]'),
 ])
 def test_tree_text(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")

@@ -4,17 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# A string literal is kept as it is; a number loses a zero fraction.
-_STRING_OR_WHOLE = r'("(?:[^"\\]|\\.)*")|(-?[0-9]+)\.0(?=[,\]}]|$)'
+_TOKEN = r'"(?:[^"\\]|\\.)*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^"0-9-]+|.'
+_NUMBER = r"^-?[0-9]"
+# Numbers whose spelling is not settled by reading and printing them: fractions, exponents, many digits.
+_UNSETTLED = r"[0-9][.eE]|[0-9]{16}"
+
+
+def parsed(text: Column) -> Column:
+    """The JSON value of a whole text; null where the text is anything else, or goes on after a value."""
+    # In a list with a known second element, text after the value moves or loses that element.
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"~"]')))
+    alone = (F.try_variant_get(listed, "$[1]", "string") == "~") & F.try_variant_get(listed, "$[2]", "string").isNull()
+    return F.when(alone, F.try_parse_json(text))
+
+
+def _number(token: Column) -> Column:
+    """One spelling for all spellings of a decimal number, exact at any length."""
+    whole, part = F.regexp_extract(token, r"^-?([0-9]+)", 1), F.regexp_extract(token, r"\.([0-9]+)", 1)
+    exponent = F.coalesce(F.regexp_extract(token, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    digits = F.concat(whole, part)
+    kept = F.regexp_replace(digits, "^0+|0+$", "")
+    # The value is 0.kept times ten to the power of point.
+    point, n = F.length(whole) - F.length(F.regexp_extract(digits, "^0*", 0)) + exponent, F.length(kept)
+    spelled = (
+        F.when((point >= n) & (point <= 40), F.concat(kept, F.repeat(F.lit("0"), point - n)))
+        .when((point > 0) & (point < n), F.concat(F.left(kept, point), F.lit("."), F.substring(kept, point + 1, n)))
+        .when((point <= 0) & (point > -6), F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), kept))
+        .otherwise(F.concat(kept, F.lit("E"), (point - n).cast("string")))
+    )
+    sign = F.when(F.startswith(token, F.lit("-")), "-").otherwise("")
+    return F.when(n == 0, F.lit("0")).otherwise(F.concat(sign, spelled))
 
 
 def canonical_json(text: Column) -> Column:
-    """One spelling per JSON value: sorted keys, no spaces, ``1`` for ``1.0``.
+    """One spelling per JSON value: sorted keys, no spaces, numbers by value.
 
-    Invalid JSON gives null. Repeated keys keep the last value (see session
-    settings).
+    Numbers are compared by their digits and exponent, never as floating point, so
+    ``1e1``, ``10.0`` and ``10`` are one and long integers stay apart. Invalid JSON
+    gives null. Repeated keys keep the last value (see session settings).
     """
-    return F.regexp_replace(F.to_json(F.try_parse_json(text)), _STRING_OR_WHOLE, "$1$2")
+    marked = F.array_join(F.transform(
+        F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)),
+        lambda t: F.when(F.rlike(t, F.lit(_NUMBER)), F.concat(F.lit('"\\u0001#'), _number(t), F.lit('"'))).otherwise(t),
+    ), "")
+    spelled = F.regexp_replace(F.to_json(F.try_parse_json(marked)), r'"\\u0001#([^"]*)"', "$1")
+    plain = F.to_json(F.try_parse_json(text))
+    return F.when(parsed(text).isNotNull(), F.when(F.rlike(text, F.lit(_UNSETTLED)), spelled).otherwise(plain))
 
 
 def json_text(text: Column, path: str) -> Column:

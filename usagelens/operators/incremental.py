@@ -72,7 +72,8 @@ def incremental_batch(
     page = (
         newest_page(projects, page_limit)
         .where(F.col("file_id").isNotNull())
-        .dropDuplicates(["project_id"])
+        .groupBy("project_id").agg(F.max_by(F.struct("released", "file_id"), F.struct("released", "file_id")).alias("_last"))
+        .select("project_id", "_last.*")
         .join(taken, "project_id", "left_anti")
         .join(indexed.select("project_id").distinct(), "project_id", "left_anti")
     )

@@ -77,7 +77,7 @@ def expand_nested(
     separate independent batches.
     """
     nodes = flatten_tree(candidates, [*scope, order], tree)
-    place = F.concat(F.array(F.col(order).cast("int")), F.col("path"))
+    place = F.concat(F.array(F.col(order).cast("bigint")), F.col("path").cast("array<bigint>"))
     carry = ["version", "sha1", order, "path", "depth"]
     return newest_per_id(nodes, [*scope, "id"], F.col("version"), place, carry)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import jsonvalues
 from ..functions.scalars import tag_search_key
 from ..operators import clean, dictionary, flatten, remap
+from ..session import materialize
 from ..sources import datafiles
 from .registry import Tables, query
 from .roles import RECORDS, col, lit, records, text
@@ -93,7 +94,8 @@ def link_counts(t: Tables) -> DataFrame:
 
 
 @query("broken_keys", f"""
-WITH {RECORDS}
+WITH {RECORDS.replace("records AS (", "numbered AS (", 1).split("method_references AS")[0].rstrip().rstrip(",")},
+records AS (SELECT * REPLACE (0 AS position) FROM numbered)
 SELECT 'method_defs' AS "table", artifact_id, class_name, count(*) AS copies FROM records
 GROUP BY artifact_id, position, class_name, method HAVING count(*) > 1
 UNION ALL
@@ -108,7 +110,8 @@ SELECT 'class_parents', artifact_id, class_name, count(*) FROM (
   UNION ALL SELECT artifact_id, position, class_name, interface FROM records WHERE interface IS NOT NULL)
 GROUP BY artifact_id, position, class_name, parent HAVING count(*) > 1""")
 def broken_keys(t: Tables) -> DataFrame:
-    return flatten.broken_keys(flatten.flatten_records(records(t)))
+    """All records of one class name in an artifact taken as one definition, so that keys repeat."""
+    return flatten.broken_keys(flatten.flatten_records(records(t).withColumn("position", lit(0).cast("bigint"))))
 
 
 # ---------------------------------------------------------------- dictionaries
@@ -212,7 +215,8 @@ UNION ALL
 SELECT 'fields', artifact_id, position, class_name, owner, name, "count" FROM kept_fields""")
 def clean_own_refs(t: Tables) -> DataFrame:
     whole = records(t)
-    of = lambda kind, refs: clean.drop_own_references(flatten.references(whole, refs), whole, kind).select(
+    own = materialize(clean.removable_members(whole), "removable")
+    of = lambda kind, refs: clean.drop_own_references(flatten.references(whole, refs), own, kind).select(
         lit(kind).alias("kind"), "artifact_id", "position", "class_name", "owner", "name", "count"
     )
     return of("methods", "method_refs").union(of("fields", "field_refs"))

@@ -126,7 +126,7 @@ def max_version_per_id(t: Tables) -> DataFrame:
         col("p_name").alias("id"), "p_partkey",
         F.concat(text("p_size"), lit("."), (col("p_partkey") % 10).cast("string"), tail).alias("version"),
     )
-    place = F.array(col("p_partkey").cast("int"))
+    place = F.array(col("p_partkey").cast("bigint"))
     return nested.newest_per_id(rows, ["id"], col("version"), place, ["version", "p_partkey"]).drop("first_seen")
 
 

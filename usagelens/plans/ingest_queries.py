@@ -14,7 +14,7 @@ from ..functions.fingerprint import content_fingerprint
 from ..functions.jsonvalues import canonical_json, json_text
 from ..operators import backfill, incremental, listing, lookups
 from ..session import new_path
-from ..sinks import tables
+from ..sinks import generations, tables
 from ..sources import archives, metadata
 from ..streaming.ingest import ingest
 from .registry import Tables, query
@@ -166,6 +166,26 @@ def replace_in_buckets(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("artifact_id", "class_name")
 
 
+@query("replace_generations", f"""
+WITH {CLASS_DEFS},
+first AS (
+  SELECT artifact_id, class_name FROM class_defs WHERE artifact_id NOT IN (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
+  UNION ALL SELECT p_partkey, 'new/' || p_name FROM part WHERE p_type = 'PROMO' AND p_size > 45)
+SELECT artifact_id, class_name FROM first WHERE artifact_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 30)
+UNION ALL SELECT p_partkey, 'newer/' || p_name FROM part WHERE p_size > 30 AND p_type <> 'SMALL'""")
+def replace_generations(t: Tables) -> DataFrame:
+    """Two replacements on a stored table, each published as a whole, then compacted."""
+    path, target = new_path(t.spark, "class-defs"), new_path(t.spark, "compacted")
+    generations.create(class_defs(t), path, "artifact_id")
+    for label, replaced, kept in (("new/", "p_type = 'PROMO'", "p_size > 45"), ("newer/", "p_size > 30", "p_type <> 'SMALL'")):
+        parts = t.part.where(replaced)
+        rows = parts.where(kept).select(col("p_partkey").alias("artifact_id"), F.concat(lit(label), "p_name").alias("class_name"))
+        generations.replace(rows, parts.select(col("p_partkey").alias("artifact_id")), path, "artifact_id")
+    schema = class_defs(t).schema
+    generations.compact(t.spark, path, schema, "artifact_id", target)
+    return generations.read(t.spark, target, schema, "artifact_id")
+
+
 @query("cascade_delete", f"""
 WITH {CLASS_DEFS}, gone AS (SELECT p_partkey FROM part WHERE p_type = 'PROMO')
 SELECT 'class_defs' AS table_name, artifact_id, count(*) AS rows FROM class_defs WHERE artifact_id NOT IN (FROM gone) GROUP BY ALL
@@ -307,9 +327,27 @@ def archive_scan(t: Tables) -> DataFrame:
     )
 
 
-@query("content_fingerprints")
+# The hash is a chain over four-byte words; 1540483477 is its multiplier.
+MURMUR = """
+WITH bare AS (SELECT doc_id, hex(encode(regexp_replace(text, '[\t\n\r ]', '', 'g'))) AS x FROM documents),
+cut AS (
+  SELECT doc_id, x, length(x) // 2 AS n,
+         [('0x' || x[i + 6:i + 7] || x[i + 4:i + 5] || x[i + 2:i + 3] || x[i:i + 1])::UBIGINT FOR i IN range(1, length(x) - 6, 8)] AS words,
+         x[(length(x) // 8) * 8 + 1:] AS t
+  FROM bare),
+mixed AS (
+  SELECT doc_id, n, t,
+         list_reduce(list_prepend(xor(1::UBIGINT, n::UBIGINT), list_transform(words, lambda w: (xor((w * 1540483477) & 4294967295, ((w * 1540483477) & 4294967295) >> 24) * 1540483477) & 4294967295)),
+                     lambda h, w: xor((h * 1540483477) & 4294967295, w)) AS h
+  FROM cut),
+tailed AS (
+  SELECT doc_id, n, CASE WHEN t = '' THEN h ELSE (xor(h, ('0x' || t[5:6] || t[3:4] || t[1:2])::UBIGINT) * 1540483477) & 4294967295 END AS h FROM mixed),
+final AS (SELECT doc_id, n, (xor(h, h >> 13) * 1540483477) & 4294967295 AS h FROM tailed)
+SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE xor(h, h >> 15) END::BIGINT AS fingerprint FROM final"""
+
+
+@query("content_fingerprints", MURMUR)
 def content_fingerprints(t: Tables) -> DataFrame:
-    """No SQL: the hash is a chain over four-byte words. Tests check it word by word."""
     return t.documents.select("doc_id", content_fingerprint(col("text").cast("binary")).alias("fingerprint"))
 
 
@@ -376,18 +414,19 @@ def backfill_annotations(t: Tables) -> DataFrame:
 @query("stream_ingest", """
 SELECT o_orderkey AS artifact_id, o_orderstatus AS class_name FROM orders""")
 def stream_ingest(t: Tables) -> DataFrame:
-    """Landing files through a stream into a bucketed table, then a second run that
+    """Landing files through a stream into a stored table, then a second run that
     finds nothing new."""
     landing = f"{t.directory}/order[s].parquet"
     path, checkpoint = new_path(t.spark, "streamed"), new_path(t.spark, "stream-state")
     schema = t.orders.schema
     shape = lambda df: df.select(col("o_orderkey").alias("artifact_id"), col("o_orderstatus").alias("class_name"))
-    tables.write_buckets(shape(t.orders.where("false")), path, "artifact_id", 8)
+    empty = shape(t.orders.where("false"))
+    generations.create(empty, path, "artifact_id")
 
     def apply(batch: DataFrame, _: int) -> None:
         rows = shape(batch)
-        tables.replace_in_buckets(rows, rows.select("artifact_id"), path, "artifact_id", 8)
+        generations.replace(rows, rows.select("artifact_id"), path, "artifact_id")
 
     for _ in range(2):
         ingest(t.spark, landing, schema, apply, checkpoint).awaitTermination()
-    return t.spark.read.parquet(path).select("artifact_id", "class_name")
+    return generations.read(t.spark, path, empty.schema, "artifact_id")

@@ -17,13 +17,6 @@ def text(column: str) -> Column:
     return F.col(column).cast("string")
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A table whose files split into fewer pieces than there are cores, over all
-    cores. Tables with enough pieces are left as they are."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 # ------------------------------------------------------------------- artifacts
 
 ARTIFACTS = """
@@ -154,7 +147,7 @@ def members(t: Tables) -> DataFrame:
 RECORDS = """
 records AS (
   SELECT l_orderkey AS artifact_id,
-         l_linenumber::BIGINT * 1000000000 + l_suppkey * 1000 + l_quantity::BIGINT AS position,
+         l_linenumber::BIGINT * 1000000000000000 + l_suppkey * 1000 + l_quantity::BIGINT AS position,
          'c/P' || l_partkey || CASE WHEN l_quantity > 45 THEN '$' || l_linenumber
                                     WHEN l_quantity > 40 THEN '$A' || l_linenumber ELSE '' END AS class_name,
          CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber < 5 THEN 'java/lang/Object'
@@ -194,10 +187,10 @@ def records(t: Tables) -> DataFrame:
         owner.alias("owner"), n.alias("name"), lit(d).alias("desc"), c.cast("int").alias("count")
     )
     field, method = F.concat(lit("f"), digit), F.concat(lit("m"), digit)
-    line_items = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+    line_items = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     return line_items.select(
         col("l_orderkey").alias("artifact_id"),
-        (col("l_linenumber").cast("bigint") * 1000000000 + supplier * 1000 + quantity).alias("position"),
+        (col("l_linenumber").cast("bigint") * 1000000000000000 + supplier * 1000 + quantity).alias("position"),
         name.alias("name"),
         F.when(col("l_linenumber") == 1, lit(None).cast("string")).when(col("l_linenumber") < 5, "java/lang/Object")
         .otherwise(F.concat(lit("c/S"), text("l_suppkey"))).alias("super"),

@@ -93,9 +93,13 @@ def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str,
     as they are. The new files are staged and moved in at commit, and ``new`` is
     computed once. The driver only sees two lists of bucket numbers, bounded by
     ``buckets``. A bucket left without rows is removed, since no file would
-    overwrite it. Running it again after a failure gives the same table.
+    overwrite it. ``new`` may only hold replaced keys. The commit moves one bucket
+    after the other, so readers and lost drivers can meet a part of it: where that
+    matters, use ``generations``, which publishes a change as a whole.
     """
     spark = new.sparkSession
+    if not new.join(replaced.select(key).distinct(), key, "left_anti").isEmpty():
+        raise ValueError(f"new rows have values of {key} that are not replaced")
     touched = {r[0] for r in replaced.select(bucket_of(key, buckets)).distinct().collect()}
     if not touched:
         return
