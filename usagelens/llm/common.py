@@ -9,6 +9,9 @@ from ..session import materialize, tune
 # ASCII white space as the contracts count it, for Java regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 
+# Pieces in which a group is numbered; their sizes are a table of this many rows for each group.
+SLICES = 1_024
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """The library's settings, and Arrow batches that are bounded in bytes, for very long texts."""
@@ -31,7 +34,7 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def numbered(rows: DataFrame, within: list[str], order: list[str], name: str, slices: int) -> DataFrame:
+def numbered(rows: DataFrame, within: list[str], order: list[str], name: str, slices: int = SLICES) -> DataFrame:
     """Add ``name``: gapless numbers from 0 inside each group of ``within``, without one task per group.
 
     Rows are dealt by hash into ``slices`` pieces of each group; a row's number is its

@@ -94,8 +94,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     goals = [share + (s in fullest) for s in range(shards)]
     surplus = [max(0, h - g) for h, g in zip(held, goals)]
     starts = [sum(surplus[:s]) for s in range(shards)]
-    slices = 64 + rows // 1_000_000
-    ranked = numbered(placed, ["shard"], ["class_linked", "doc_id", "size", "crc"], "rank", slices)
+    ranked = numbered(placed, ["shard"], ["class_linked", "doc_id", "size", "crc"], "rank")
     # The movers of all shards, numbered through, fill the free places in order.
     number = F.col("rank") + _constant(starts, F.col("shard"))
     target, upto = F.lit(0), 0
@@ -109,7 +108,7 @@ def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
             F.when(F.col("rank") < _constant(surplus, F.col("shard")), target).otherwise(F.col("shard")).cast("int").alias("shard"),
         ), "even",
     )
-    slotted = numbered(even, ["shard"], ["doc_id", "size", "crc"], "slot", slices)
+    slotted = numbered(even, ["shard"], ["doc_id", "size", "crc"], "slot")
     return slotted.select(
         "doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
