@@ -1,0 +1,54 @@
+"""Near copies of the pipeline against a comparison of all pairs."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+from usagelens.llm import near_copies
+
+SCHEMA = "doc_id bigint, text string"
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows):
+    sets, root = [plain_set(t) for _, t in rows], list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    groups = {}
+    for at, r in enumerate(root):
+        groups.setdefault(r, []).append(rows[at])
+    return sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()), key=repr)
+
+
+def edited(rng, words, share):
+    return [rng.choice("uvwxyz") * 9 if rng.random() < share else w for w in words]
+
+
+def test_near_copies_at_all_similarities(llm):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    passage = rng.choices(vocabulary, k=30)
+    texts = []
+    for _ in range(12):
+        words = rng.choices(vocabulary, k=rng.randrange(40, 300))
+        texts += [edited(rng, words, share) for share in (0, 0.005, 0.01, 0.02, 0.03, 0.05)]
+    hot = rng.choices(vocabulary, k=150)
+    texts += [edited(rng, hot, 0.01) for _ in range(40)] + [passage + rng.choices(vocabulary, k=k) for k in range(1, 60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    found = near_copies.keep_one(llm.createDataFrame(rows, SCHEMA).repartition(5))
+    assert sorted((r["doc_id"] for r in found.collect()), key=repr) == plain_kept(rows)
+
+
+def test_stage_drops_texts_of_a_similarity_of_eight_tenths(llm):
+    docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IN (1, 255, 2, 56, 3)")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r["doc_id"] for r in stage(llm, docs, "").collect()) == [1, 2, 3]

@@ -32,7 +32,7 @@ PIECE = 1 << 22  # bytes of a text that are cut into words at once
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _hashes(text: bytes):
+def _hashes(text: bytes, shingle: int = SHINGLE):
     """Hashes of a text's shingles, some at a time."""
     held: list[bytes] = []
     at, whole = 0, False
@@ -40,11 +40,11 @@ def _hashes(text: bytes):
         found = _SPACE.search(text, min(at + PIECE, len(text)))
         end = found.start() if found else len(text)
         words = held + text[at:end].split()
-        if len(words) >= SHINGLE:
+        if len(words) >= shingle:
             whole = True
-            joined = [b" ".join(some) for some in zip(*[words[i:] for i in range(SHINGLE)])]
+            joined = [b" ".join(some) for some in zip(*[words[i:] for i in range(shingle)])]
             yield np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined))
-        held, at = words[-(SHINGLE - 1):] if len(words) >= SHINGLE else words, end
+        held, at = words[-(shingle - 1):] if len(words) >= shingle else words, end
     if not whole and held:
         yield np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
 
@@ -107,6 +107,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with its own columns."""
+    """The document with the least id of each component, with its own columns.
+
+    Rows with null id have no component and go; the pipeline uses ``near_copies.keep_one``.
+    """
     kept = materialize(groups(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
