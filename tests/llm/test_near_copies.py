@@ -52,3 +52,16 @@ def test_stage_drops_texts_of_a_similarity_of_eight_tenths(llm):
     docs = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IN (1, 255, 2, 56, 3)")
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     assert sorted(r["doc_id"] for r in stage(llm, docs, "").collect()) == [1, 2, 3]
+
+
+def test_rows_without_ids_take_part(llm, odd, none):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(None, "alone with no id at all"), (None, " ".join(words)), (5, " ".join(words[1:])), (None, " ".join("q" + w for w in words)), (None, " ".join("q" + w for w in words[2:]))]
+    found = [tuple(r) for r in near_copies.keep_one(llm.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(found) == 3 and rows[0] in found and rows[2] in found
+    kept = near_copies.keep_one(odd)
+    assert kept.columns == odd.columns
+    texts = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == plain_kept(texts)
+    assert (None, "a b c d") in {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert near_copies.keep_one(none).count() == 0
