@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
-from usagelens.llm import near_copies
+from usagelens.llm import chunk_dedup, near_copies
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -65,3 +66,12 @@ def test_rows_without_ids_take_part(llm, odd, none):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == plain_kept(texts)
     assert (None, "a b c d") in {(r["doc_id"], r["text"]) for r in kept.collect()}
     assert near_copies.keep_one(none).count() == 0
+
+
+def test_repeated_rows_stay_once(llm):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (2, "a b", "z"), (None, "c", None), (None, "c", None), (None, None, "n"), (None, "", "n"), (3, "d", "x"), (3, "e", "x")]
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = chunk_dedup.keep_first(docs.union(docs))
+    assert kept.columns == docs.columns
+    found = Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in kept.collect())
+    assert found == Counter([(1, "a b"), (None, "c"), (None, ""), (3, "d"), (3, "e")])

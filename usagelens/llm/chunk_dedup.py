@@ -10,8 +10,8 @@ eight bytes for each chunk are.
 
 A text without white space is one chunk. Null texts count as empty. The least id of
 equal texts stays; null ids stay only if all ids of their group are null. Rows with
-equal ids and equal texts count one by one in the size of their group, and stay
-together. An empty table gives no rows; other columns are ignored.
+equal ids and equal texts count one by one in the size of their group, and are reported
+together; ``keep_first`` keeps one of them. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,9 +90,15 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with their own columns."""
-    found = groups(docs)
-    kept = materialize(found.where("kept").select("doc_id", "text_sha256").distinct(), "kept")
+    """One row of each group of equal texts, with its own columns."""
+    found = groups(docs).where("kept")
+    kept = materialize(found.groupBy("doc_id", "text_sha256").agg((F.count(F.lit(1)) > 1).alias("_tied")), "kept")
     # Ids may repeat, so a row stays by its id and text.
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.sha2(normalised(), 256) == kept["text_sha256"])
-    return docs.join(kept, same, "left_semi").select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(normalised(), 256).alias("_sha"))
+    same = F.col("_id").eqNullSafe(kept["doc_id"]) & (F.col("_sha") == kept["text_sha256"])
+    if kept.where("_tied").isEmpty():
+        return own.join(kept, same, "left_semi").select("_row.*")
+    # Rows of one id and text: they are all that is left of their group, and one of them stays.
+    met = own.join(kept, same).select("_row", "_id", "_sha", "_tied")
+    tied = met.where("_tied").groupBy("_id", "_sha").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row"))
+    return met.where("NOT _tied").select("_row").union(tied.select("_row")).select("_row.*")
