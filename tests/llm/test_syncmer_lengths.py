@@ -1,0 +1,31 @@
+"""Fingerprints of short texts, and of texts that an edit makes shorter."""
+
+from __future__ import annotations
+
+import random
+
+from usagelens.llm import syncmers
+
+
+def test_likeness_has_no_jump_at_any_length(llm):
+    """Texts of 40 to 56 words, some of which fall under 48 atoms by the edit: those are as like as the others."""
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    lengths = {i: 40 + i % 17 for i in range(340)}
+    # The edit takes a quarter of the next text's characters: of one long word, so the edited text has fewer atoms.
+    rows = []
+    for i, n in lengths.items():
+        rows += [(2 * i, text(n)), (2 * i + 1, "-" * 400)]
+    found = {r["doc_id"]: r for r in syncmers.neighbours(llm.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    mean = {n: [] for n in range(40, 57)}
+    for i, n in lengths.items():
+        mean[n].append(found[2 * i]["near_edited"])
+    mean = {n: sum(v) / len(v) for n, v in mean.items()}
+    assert min(mean.values()) > 0.75 * max(mean.values())
+
+
+def test_short_texts_have_fingerprints(llm):
+    rows = [(1, "one"), (2, "one two"), (3, "one two three four five six seven eight nine"), (4, "one two three four five six seven eight ten"), (5, "")]
+    found = {r["doc_id"]: r["s"] for r in syncmers.with_sketch(llm.createDataFrame(rows, "doc_id bigint, text string"), "text", "s").collect()}
+    assert found[5] == [] and all(found[i] for i in (1, 2, 3, 4))
+    assert set(found[3]) & set(found[4]) and found[3] != found[4]

@@ -7,9 +7,11 @@ it, so an unchanged passage keeps its anchors wherever it stands. ``anchors`` gi
 hashes and places; a fingerprint is the ``SKETCH`` least distinct hashes, and the
 likeness of two fingerprints is the share of common hashes among the least of both.
 
-Texts of fewer than ``SHORT`` atoms hold too few k-mers; their single atoms are anchors
-as well. Texts without atoms have the empty fingerprint, and two of those are alike. Null texts count
-as empty. Null ids come before all others, rows with equal ids are ordered by text, and
+For fingerprints every text with atoms is set between seven marks on either side, which
+are no atoms, so one rule holds at every length: a text of one atom has eight k-mers, at
+least one of them a syncmer, and k-mers at its ends tell short texts apart. ``anchors``
+leaves out the k-mers with marks, as they depend on where a passage stands. Texts without
+atoms have the empty fingerprint, and two of those are alike. Null texts count as empty. Null ids come before all others, rows with equal ids are ordered by text, and
 the one document of a table follows itself. An empty table gives no rows.
 """
 
@@ -21,7 +23,6 @@ from .common import partitions, whole_text
 
 SKETCH = 64
 K = 8  # atoms in a k-mer; the steps of with_syncmers build on it, and on pairs inside
-SHORT = 48
 ATOM = r"[^\x20\x09-\x0D]{1,8}"
 
 
@@ -35,34 +36,40 @@ def _zip(name: str, by: int, merge) -> Column:
     return F.zip_with(head, _shifted(name, by), merge)
 
 
-def with_syncmers(rows: DataFrame, text: str, name: str) -> DataFrame:
+def _marked(atoms: Column) -> Column:
+    """The hashes of a text between those of the marks; no atom has a space."""
+    before, after = (F.array(*[F.xxhash64(F.lit(f"{side} {i}")) for i in range(K - 1)]) for side in ("before", "after"))
+    return F.when(F.size(atoms) > 0, F.concat(before, atoms, after)).otherwise(atoms)
+
+
+def with_syncmers(rows: DataFrame, text: str, name: str, marks: bool) -> DataFrame:
     """Add ``name``: for every k-mer in order its hash if it is a closed syncmer, else null.
 
+    With ``marks``, k-mers that reach over the ends of the text count as well.
+
     Each step is a column of its own, used more than once by the next, so it is computed once.
     """
     kept = [F.col(c) for c in rows.columns]
     least = lambda a, b: F.least(a, b)
     mixed = lambda a, b: F.xxhash64(a, b)
+    hashed = rows.select(*kept, F.transform(F.regexp_extract_all(F.col(text), F.lit(ATOM), F.lit(0)), lambda a: F.xxhash64(a)).alias("_h"))
+    if marks:
+        hashed = hashed.select(*kept, _marked(F.col("_h")).alias("_h"))
     return (
-        rows.select(*kept, F.transform(F.regexp_extract_all(F.col(text), F.lit(ATOM), F.lit(0)), lambda a: F.xxhash64(a)).alias("_h"))
-        .select(*kept, "_h", _zip("_h", 1, mixed).alias("_s"))
-        .select(*kept, "_h", "_s", _zip("_s", 1, least).alias("_m2"), _zip("_s", 2, mixed).alias("_k4"), _zip("_s", 6, least).alias("_edge"))
-        .select(*kept, "_h", "_edge", _zip("_m2", 2, least).alias("_m4"), _zip("_k4", 4, mixed).alias("_k8"))
-        .select(*kept, "_h", "_edge", "_k8", _zip("_m4", 3, least).alias("_m7"))
-        .select(
-            *kept, "_h",
-            F.zip_with(F.zip_with("_edge", "_m7", lambda e, m: e == m), "_k8", lambda chosen, k: F.when(chosen, k)).alias("_chosen"),
-        )
+        hashed.select(*kept, _zip("_h", 1, mixed).alias("_s"))
+        .select(*kept, "_s", _zip("_s", 1, least).alias("_m2"), _zip("_s", 2, mixed).alias("_k4"), _zip("_s", 6, least).alias("_edge"))
+        .select(*kept, "_edge", _zip("_m2", 2, least).alias("_m4"), _zip("_k4", 4, mixed).alias("_k8"))
+        .select(*kept, "_edge", "_k8", _zip("_m4", 3, least).alias("_m7"))
         .select(
             *kept,
-            F.when(F.size("_h") >= SHORT, F.col("_chosen")).otherwise(F.concat("_chosen", "_h")).alias(name),
+            F.zip_with(F.zip_with("_edge", "_m7", lambda e, m: e == m), "_k8", lambda chosen, k: F.when(chosen, k)).alias(name),
         )
     )
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, position, hash) of all anchors; positions count atoms (of a short text: k-mers, then atoms)."""
-    rows = with_syncmers(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), "text", "k")
+    """(doc_id, position, hash) of all anchors inside the texts; positions count atoms."""
+    rows = with_syncmers(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), "text", "k", marks=False)
     return rows.select("doc_id", F.posexplode("k").alias("position", "hash")).where("hash IS NOT NULL")
 
 
@@ -70,7 +77,7 @@ def with_sketch(rows: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``: the least distinct hashes of a text's anchors, as 32-bit numbers."""
     kept = [F.col(c) for c in rows.columns]
     short = F.transform(F.array_compact("_k"), lambda k: F.shiftright(k, 32).cast("int"))
-    return with_syncmers(rows, text, "_k").select(*kept, F.slice(F.sort_array(F.array_distinct(short)), 1, SKETCH).alias(name))
+    return with_syncmers(rows, text, "_k", marks=True).select(*kept, F.slice(F.sort_array(F.array_distinct(short)), 1, SKETCH).alias(name))
 
 
 def digits(sketch: str) -> Column:
