@@ -2,17 +2,18 @@
 
 A page is read as a tree of its block elements; text in inline elements belongs to the
 block around it, and brothers of one kind (tag, class and id) are folded into one node.
-The trees of a host's pages are aligned by simple tree matching and merged into its
-wrapper. Each node of a wrapper counts its texts and keeps the least hashes of the
-different ones. Where few different texts fill a node, compared with the host's most
-varied node, it is template; varied nodes are slots, and slots are content unless they
-lie in an element that names itself something else (menu, footer, advert, form, ...).
-Where the host marks its article by an element, content lies inside it.
+The trees of a host's pages are merged into its wrapper. As brothers are folded, each
+kind is there once among the children of a node, so simple tree matching pairs equal
+kinds at equal paths and decides no more than a table of paths would. Each node of a
+wrapper counts on how many pages it is and each of its texts is. A text on half of the
+pages that have its node is template; all others are content unless they lie in an
+element that names itself something else (menu, footer, advert, form, ...). Where a page
+marks its article by an element with text, the content of that page lies inside it.
 
 Wrappers are merged within every input task first, so pages are not shuffled and a host
 with a third of all pages is read by all tasks; merged wrappers grow with the kinds of
-nodes of a host, not with its pages. A host of fewer than ``FEW`` texts in every node has
-no template: its names alone decide.
+nodes of a host and its fullest page, not with the number of pages. A node on fewer than
+``FEW`` pages has no template: names alone decide.
 
 Null pages count as empty and have the empty text. Null addresses form one host. Pages
 with equal ids are extracted one by one. An empty table gives no rows.
@@ -35,8 +36,6 @@ from .common import whole_text
 
 FEW = 8
 SKETCH = 48
-CONSTANT = 0.3  # of the variety of the host's most varied node
-CONSTANT_INSIDE = 0.05  # the same inside a marked article
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S
 )
@@ -71,58 +70,56 @@ def text_hash(text: str) -> int:
 
 
 class Node:
-    """A kind of block element at its place: how many texts it has, and the least hashes of different ones."""
+    """A kind of block element at its place: on how many pages it is, and on how many each of its texts.
 
-    __slots__ = ("kind", "children", "texts", "hashes", "counts", "trees")
+    A text counts once for each page. Of a wrapper's texts the most frequent are kept, four
+    times as many as the fullest page has; texts on half of the pages are at most twice as many.
+    """
+
+    __slots__ = ("kind", "children", "counts", "trees", "fullest")
 
-    def __init__(self, kind: str):
-        self.kind, self.children, self.texts, self.hashes = kind, [], 0, set()
+    def __init__(self, kind: str, trees: int = 0):
+        self.kind, self.children, self.trees, self.fullest = kind, [], trees, 0
         self.counts: Counter = Counter()
-        self.trees = 1
 
-    def child(self, kind: str) -> "Node":
+    def child(self, kind: str, trees: int = 0) -> "Node":
         for node in self.children:
             if node.kind == kind:
                 return node
-        self.children.append(Node(kind))
+        self.children.append(Node(kind, trees))
         return self.children[-1]
 
     def add(self, text: str) -> None:
-        value = text_hash(text)
-        self.texts += 1
-        self.hashes.add(value)
-        self.counts[value] += 1
-        self.trim()
+        """Note a text of a page."""
+        self.counts[text_hash(text)] = 1
+        self.fullest = len(self.counts)
 
     def join(self, other: "Node") -> None:
         """Take over what another node has counted."""
-        self.texts += other.texts
-        self.hashes |= other.hashes
+        self.trees += other.trees
+        self.fullest = max(self.fullest, other.fullest)
         self.counts.update(other.counts)
-        self.trim()
+        if len(self.counts) > 2 * self.room():
+            self.counts = Counter(dict(self.frequent()))
 
-    def trim(self) -> None:
-        if len(self.hashes) > 2 * SKETCH:
-            self.hashes = set(sorted(self.hashes)[:SKETCH])
-        if len(self.counts) > 4 * SKETCH:
-            # What fills half of the pages is among the most frequent at any time.
-            self.counts = Counter(dict(sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[:SKETCH]))
+    def room(self) -> int:
+        return max(SKETCH, 4 * self.fullest)
 
-    def variety(self) -> float:
-        """Estimated share of different texts."""
-        least = sorted(self.hashes)[:SKETCH]
-        kinds = len(least) if len(least) < SKETCH else (SKETCH - 1) * (1 << 32) / (least[-1] + 1)
-        return min(1.0, kinds / self.texts) if self.texts else 0.0
+    def frequent(self) -> list[tuple[int, int]]:
+        return sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[:self.room()]
+
+    def constant(self) -> frozenset[int]:
+        """The hashes of the texts that are on half of the node's pages."""
+        return frozenset(value for value, n in self.counts.items() if 2 * n >= self.trees >= FEW)
 
     def packed(self) -> list:
-        counts = sorted(self.counts.items(), key=lambda x: (-x[1], x[0]))[:SKETCH]
-        return [self.kind, self.texts, self.trees, sorted(self.hashes)[:SKETCH], counts, [node.packed() for node in self.children]]
+        return [self.kind, self.trees, self.fullest, self.frequent(), [node.packed() for node in self.children]]
 
     @staticmethod
     def unpacked(data: list) -> "Node":
         node = Node(data[0])
-        _, node.texts, node.trees, hashes, counts, children = data
-        node.hashes, node.counts = set(hashes), Counter(dict(map(tuple, counts)))
+        _, node.trees, node.fullest, counts, children = data
+        node.counts = Counter(dict(map(tuple, counts)))
         node.children = [Node.unpacked(child) for child in children]
         return node
 
@@ -138,7 +135,7 @@ def _kind(tag: str, attributes: str) -> str:
 
 def read(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The folded tree of a page, and its blocks of text in order with their nodes."""
-    root = Node("page")
+    root = Node("page", trees=1)
     stack: list[tuple[str, Node]] = [("page", root)]
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
@@ -195,7 +192,7 @@ def read(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 break
         if tag == "hr":
             continue
-        stack.append((tag, stack[-1][1].child(_kind(tag, found[3]))))
+        stack.append((tag, stack[-1][1].child(_kind(tag, found[3]), trees=1)))
     flush()
     return root, blocks
 
@@ -231,7 +228,6 @@ def merge(wrapper: Node, page: Node) -> dict[Node, Node]:
     """
     place = {page: wrapper}
     wrapper.join(page)
-    wrapper.trees += page.trees
     _, pairs = match(wrapper, page)
     known = {j: wrapper.children[i] for i, j in pairs}
     for j, node in enumerate(page.children):
@@ -250,33 +246,31 @@ def located(wrapper: Node, page: Node) -> dict[Node, Node]:
     return place
 
 
-def content_nodes(wrapper: Node) -> dict[int, frozenset[int]]:
-    """The wrapper's nodes whose texts are content, by identity, with the hashes of texts that are not.
-
-    Outside a marked article, a text that fills its place on half of the pages is template too.
-    """
-    slots: list[tuple[Node, bool, bool]] = []
+def content_nodes(wrapper: Node) -> dict[int, tuple[bool, frozenset[int]]]:
+    """The wrapper's nodes that may hold content, by identity: whether in a marked article, and their constant texts."""
+    found: dict[int, tuple[bool, frozenset[int]]] = {}
 
     def visit(node: Node, hidden: bool, article: bool) -> None:
         tag, _, names = node.kind.partition(" ")
         article = article or tag in ARTICLE or "article" in names.split() and tag != "body"
         hidden = hidden or tag in HIDDEN or tag in NOT_CONTENT or tag == "header" and not article
         hidden = hidden or tag not in ("html", "body", "article", "main", "page") and bool(NAMED.search(names))
-        if node.texts:
-            slots.append((node, hidden, article))
+        if not hidden:
+            found[id(node)] = article, node.constant()
         for child in node.children:
             visit(child, hidden, article)
 
     visit(wrapper, False, False)
-    marked = any(article and not hidden for _, hidden, article in slots)
-    free = [node for node, hidden, article in slots if not hidden and (article or not marked)]
-    most = max((node.variety() for node in free if node.texts >= FEW), default=0.0)
-    least = most * (CONSTANT_INSIDE if marked else CONSTANT)
-    often = wrapper.trees / 2 if wrapper.trees >= FEW and not marked else float("inf")
-    return {
-        id(node): frozenset(value for value, n in node.counts.items() if n >= often)
-        for node in free if node.texts < FEW or node.variety() >= least
-    }
+    return found
+
+
+def main_blocks(wrapper: Node, content: dict[int, tuple[bool, frozenset[int]]], page: str) -> list[str]:
+    """The blocks of a page that are content; where the page itself marks its article, those inside."""
+    tree, blocks = read(page)
+    place = located(wrapper, tree)
+    slots = [(content[id(place[node])], text) for node, text in blocks if node in place and id(place[node]) in content]
+    marked = any(article for (article, _), _ in slots)
+    return [text for (article, constant), text in slots if article >= marked and text_hash(text) not in constant]
 
 
 def host(url: str = "url") -> Column:
@@ -328,10 +322,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     ready.clear()
                 ready[wrapper] = (root, content_nodes(root))
             root, content = ready[wrapper]
-            tree, blocks = read(page)
-            place = located(root, tree)
-            slots = [(content.get(id(place[node])) if node in place else None, text) for node, text in blocks]
-            texts.append("\n".join(text for skip, text in slots if skip is not None and text_hash(text) not in skip))
+            texts.append("\n".join(main_blocks(root, content, page)))
         return pd.Series(texts, dtype="object")
 
     texts = rows.select("page_id", "url", main_text("html", "wrapper").alias("text"))
