@@ -81,6 +81,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run that are deleted when they are no longer read, and at its end.
+
+    They stand in a database of their own whose folder lies in the shared folder, so that
+    dropping them removes their files. With ``key`` a table is laid out in buckets of it,
+    sorted by ``order``: later joins on the key need no shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.name = spark, f"{label}_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.name} LOCATION '{os.path.join(shared_dir(spark), self.name)}'")
+
+    def write(self, df: DataFrame, table: str, key: str | None = None, buckets: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+        writer = df.write.format("parquet")
+        if key:
+            writer = writer.bucketBy(buckets, key).sortBy(*order)
+        writer.saveAsTable(f"{self.name}.{table}")
+        return self.spark.table(f"{self.name}.{table}")
+
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}.{table}")
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
+
+
 def write_counted(df: DataFrame, path: str) -> int:
     """Write ``df`` and return its row count, without a second job to count it."""
     seen = Observation()
