@@ -1,0 +1,83 @@
+"""Fill-in-the-middle against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from usagelens.llm import fill_middle
+
+UNIT = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+SHA = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain(doc_id, text):
+    text = text or ""
+    units = UNIT.findall(text)
+    digits = SHA(f"42:{'' if doc_id is None else doc_id}")
+    h = [int(digits[8 * i:8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return doc_id, n, "plain", None, None, SHA(text), SHA(text)
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 80:
+        return doc_id, n, "spm", len(p), len(m), SHA(f"<S>{s}<P>{p}<M>{m}"), SHA(text)
+    return doc_id, n, "psm", len(p), len(m), SHA(f"<P>{p}<S>{s}<M>{m}"), SHA(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=" \t\n\x0b\r\x1c 　aé日🙂.", max_size=80), st.integers(1, 9), st.integers(1, 3))
+def test_cuts_over_any_blocks(text, block, window):
+    """Blocks that end inside a unit, a character, or white space."""
+    tree = fill_middle.UnitTree(text.encode(), block, window)
+    units = UNIT.findall(text)
+    assert "".join(units) == text and tree.units() == len(units)
+    for k in range(len(units) + 1):
+        assert tree.cut(k) == len("".join(units[:k]))
+
+
+def test_tree_holds_sums_of_its_spans():
+    tree = fill_middle.UnitTree(b"ab cd " * 200, 7, 5)
+    counts = [fill_middle.UnitTree(b"ab cd " * 200, 7, 5).tree]
+    blocks = len(tree.tree) - 1
+    ends = [i for i in range(1200) if i % 6 in (1, 4) or i == 1199]
+    for i in range(1, blocks + 1):
+        span = range((i - (i & -i)) * 7, min(i * 7, 1200))
+        assert tree.tree[i].tolist() == [sum(e in span for e in ends), len(span)]
+    assert counts[0].tolist() == tree.tree.tolist()
+
+
+def test_odd_tables(odd, none, rows):
+    found = rows(fill_middle.digests(fill_middle.transform(odd)))
+    assert found == sorted((plain(r["doc_id"], r["text"]) for r in odd.collect()), key=repr)
+    assert fill_middle.transform(none).count() == 0
+    cut = fill_middle.transform(odd.withColumn("output", F.lit("clash")).withColumn("n", F.lit(-1)))
+    assert set(odd.columns) < set(cut.columns) and len(set(cut.columns)) == len(cut.columns)
+    assert "clash" not in {r["output"] for r in cut.collect()}
+
+
+def test_long_texts_marks_and_many_ids(llm, rows):
+    rng = random.Random(1)
+    text = "".join(rng.choices(["word", " ", "\n", "é", "日本", "🙂", " ", "  ", "<P", ">", "S>", "<"], k=400_000))
+    data = [(i, text if i < 3 else f"{' ' * (i % 3)}a{i} <{'PSMX'[i % 4]}> b　c" + " " * (i % 2)) for i in range(300)]
+    data += [(-i, f"one <S two M> three{i}\t") for i in range(1, 200)]
+    table = llm.createDataFrame(data, "doc_id bigint, text string").repartition(4)
+    found = rows(fill_middle.digests(fill_middle.transform(table)))
+    assert found == sorted((plain(*r) for r in data), key=repr)
+    assert {r[2] for r in found} == {"plain", "psm", "spm"}
+
+
+def test_rates_and_sentinels(llm):
+    table = llm.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("x y z "), F.col("id").cast("string")).alias("text"))
+    marks = ("[[a]]", "[[b]]", "[[c]]")
+    cut = fill_middle.transform(table, rate=100, spm=0, sentinels=marks).withColumn("back", fill_middle.restored(sentinels=marks))
+    assert all(r["form"] == "psm" and r["back"] == r["text"] for r in cut.collect())
+    for wrong in (("<P>", "<P>", "<M>"), ("ab", "ba", "c"), ("aa", "b", "c"), ("", "b", "c")):
+        with pytest.raises(ValueError):
+            fill_middle.transform(table, sentinels=wrong)
