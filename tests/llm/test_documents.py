@@ -177,8 +177,20 @@ def test_near_copies_of_odd_rows(odd, none):
     assert {r["fingerprint"] for r in found if r["doc_id"] in (1, 2, 3)} == {"0" * 16}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6, 8, 10, 11]
-    assert simhash.groups(none).count() == 0
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, 1, 4, 5, 6, 8, 10, 11])
+    assert [r["text"] for r in kept.collect() if r["doc_id"] is None] == ["a b c d"]
+    assert simhash.groups(none).count() == simhash.keep_one(none).count() == 0
+
+
+def test_one_near_copy_stays_whatever_its_id(llm):
+    """Near copies without any id, repeated rows, and rows with one id and different texts."""
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))
+    bits = lambda text: (plain_fingerprint(long) ^ plain_fingerprint(text)).bit_count()
+    near = next(text for text in (f"{long} and {i} more" for i in range(99)) if 1 <= bits(text) <= 3)
+    data = [(None, "only nulls here " * 9), (None, "only nulls here " * 9), (5, long), (5, long), (9, near), (None, near), (7, "other words"), (7, "and others")]
+    kept = simhash.keep_one(llm.createDataFrame(data, "doc_id bigint, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted({data[0], data[2], data[6], data[7]}, key=repr)
 
 
 def test_long_texts_are_hashed_in_pieces(monkeypatch):

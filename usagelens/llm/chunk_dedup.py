@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import SPACES, whole_text
+from .common import SPACES, one_row_each, whole_text
 
 EVERY = 64
 
@@ -92,13 +92,5 @@ def groups(docs: DataFrame, **options) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with its own columns."""
     found = groups(docs).where("kept")
-    kept = materialize(found.groupBy("doc_id", "text_sha256").agg((F.count(F.lit(1)) > 1).alias("_tied")), "kept")
-    # Ids may repeat, so a row stays by its id and text.
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.sha2(normalised(), 256).alias("_sha"))
-    same = F.col("_id").eqNullSafe(kept["doc_id"]) & (F.col("_sha") == kept["text_sha256"])
-    if kept.where("_tied").isEmpty():
-        return own.join(kept, same, "left_semi").select("_row.*")
-    # Rows of one id and text: they are all that is left of their group, and one of them stays.
-    met = own.join(kept, same).select("_row", "_id", "_sha", "_tied")
-    tied = met.where("_tied").groupBy("_id", "_sha").agg(F.min_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row"))
-    return met.where("NOT _tied").select("_row").union(tied.select("_row")).select("_row.*")
+    kept = materialize(found.groupBy("doc_id", F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    return one_row_each(docs, kept, F.sha2(normalised(), 256))

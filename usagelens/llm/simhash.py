@@ -8,8 +8,7 @@ What comes back is verified on all 64 bits. Documents with one fingerprint are o
 entry of the table, so copies form no pairs; links join components.
 
 Null texts count as empty; texts without words have fingerprint zero and are linked like
-any other. Null ids are left without component. Rows with equal ids are one document
-where documents are dropped. An empty table gives no rows; other columns are ignored.
+any other. ``groups`` leaves null ids without component; ``keep_one`` says what it does with them. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import whole_text
+from .common import one_row_each, whole_text
 from .components import components
 
 SEED = 42  # of the shingles' XXH64
@@ -107,9 +106,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each component, with its own columns.
+    """One row of each component, with its own columns: that with the least id.
 
-    Rows with null id have no component and go; the pipeline uses ``near_copies.keep_one``.
+    Rows with null id link like any other. They go where their component has an id, and
+    else one of them stays; so does one of repeated rows.
     """
-    kept = materialize(groups(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    sha = F.sha2(whole_text(), 256)
+    made = materialize(docs.select("doc_id", sha.alias("sha"), fingerprints().alias("fp")), "fingerprints")
+    texts = made.groupBy("fp", "doc_id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "n"))
+    classes = materialize(texts.groupBy("fp").agg(first.alias("first")), "classes")
+    linked = components(links(classes.select("fp", F.col("fp").alias("id"))))
+    joined = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = joined.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    return one_row_each(docs, materialize(kept.select("first.*"), "kept"), sha)
