@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import chunk_dedup, near_copies, packing, quality, toxicity
+from usagelens.llm import chunk_dedup, packing, quality, simhash, toxicity
 from usagelens.llm.common import prepared
 from usagelens.session import materialize
 
@@ -33,9 +33,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash of three-word shingles, at most three differing bits."""
     prepared(spark)
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
