@@ -195,7 +195,7 @@ def test_ids_are_dense_stable_and_repeatable(spark, rows):
 # ---------------------------------------------------------------- records and cleaning
 
 def record(artifact, name, super_="java/lang/Object", interfaces=(), fields=(), methods=(), mrefs=(), frefs=(), position=0, annotations=()):
-    member = lambda m: (m[0], m[1], m[2], [("x/A", "{}")] if len(m) > 3 else [])
+    member = lambda m: (m[0], m[1], m[2], [] if len(m) < 4 else m[3] if isinstance(m[3], list) else [("x/A", "{}")])
     return (artifact, position, name, super_, list(interfaces), list(annotations), [member(f) for f in fields],
             [member(m) for m in methods], list(mrefs), list(frefs))
 
@@ -265,6 +265,38 @@ def test_loader_rules_skip_references_and_annotations(spark):
 
 # -------------------------------------------------------------------------- remapping
 
+def test_records_are_renamed_inside(spark):
+    """Every place of a name, members and references that become one, and what stays."""
+    mark = lambda kind: [(kind, "{}")]
+    rec = record(
+        1, "x/Own", "x/Up", interfaces=["x/Face"], annotations=mark("x/Mark"),
+        fields=[("f_1", "x/A", 1, mark("[Lx/Mark;")), ("f_2", "[Lx/A;", 2, []), ("g", "I", 3, [])],
+        methods=[("m_1", "(Lx/A;[Lx/Z;J)Lx/Own;", 1, []), ("m_2", "(Lx/A;[Lx/Z;J)Lx/Own;", 2, mark("x/Mark")), ("run", "()V", 4, [])],
+        mrefs=[("x/A", "m_1", "(Lx/B;)V", 2), ("x/B", "m_2", "(Lx/A;)V", 5), ("w/L", "m_3", "()V", 1)], frefs=[("x/B", "f_9", "x/A", 1), ("x/A", "f_9", "x/B", 3)],
+    )
+    names = [("class", "x/A", "y/N$1"), ("class", "x/B", "y/N$1"), ("class", "x/Mark", "y/Mark"), ("class", "x/Up", "y/Up"), ("class", "x/Own", "y/Own"),
+             ("class", "w/L", "y/L"), ("method", "m_1", "go"), ("method", "m_2", "go"), ("method", "run", "no"), ("field", "f_1", "x"), ("field", "f_2", "x"),
+             ("field", "m_3", "no"), ("class", "x/Face", "y/Face")]
+    mapping = spark.createDataFrame(names, "kind string, original string, mapped string")
+    table = spark.createDataFrame([rec, record(1, "q/Other", methods=[("n", "()V", 1)])], CLASS_RECORD)
+    got = {r["name"]: r.asDict(recursive=True) for r in remap.remap_records(table, mapping, class_prefix="x/").collect()}
+    one = got["x/Own"]
+    plain = lambda rows: sorted(tuple(r.values()) for r in rows)
+    assert (one["super"], one["interfaces"], one["annotations"]) == ("x/Up", ["x/Face"], [{"type": "y/Mark", "members": "{}"}])
+    assert plain(one["fields"]) == [("g", "I", 3, []), ("x", "[Ly/N$1;", 2, [])]
+    assert plain(one["methods"]) == [("go", "(Ly/N$1;[Lx/Z;J)Ly/Own;", 2, [{"type": "y/Mark", "members": "{}"}]), ("run", "()V", 4, [])]
+    assert plain(one["method_refs"]) == [("w/L", "m_3", "()V", 1), ("y/N$1", "go", "(Ly/N$1;)V", 7)]
+    assert plain(one["field_refs"]) == [("y/N$1", "f_9", "y/N$1", 4)]
+    assert got["q/Other"]["methods"] == [{"name": "n", "desc": "()V", "access": 1, "annotations": []}]
+    whole = {r["name"]: r for r in remap.remap_records(table, mapping, class_prefix="x/", method_prefix=None, field_prefix=None, remap_parents=True).collect()}
+    assert (whole["y/Own"]["super"], whole["y/Own"]["interfaces"]) == ("y/Up", ["y/Face"]) and whole["y/Own"]["fields"][0]["name"] == "f_1"
+    # Without a class prefix neither classes nor descriptors change.
+    members = {r["name"]: r for r in remap.remap_records(table, mapping).collect()}
+    assert plain(m.asDict(recursive=True) for m in members["x/Own"]["field_refs"]) == [("x/A", "f_9", "x/B", 3), ("x/B", "f_9", "x/A", 1)]
+    assert members["x/Own"]["methods"][0]["desc"] == "(Lx/A;[Lx/Z;J)Lx/Own;"
+    assert remap.remap_records(table, mapping, None, None, None) is table
+
+
 def test_remapping(spark, rows):
     mapping = spark.createDataFrame([("x/A", "y/A"), ("w/Z", "y/Z"), ("x/D$1", "y$1\\")], "original string, mapped string")
     df = spark.createDataFrame([("(Lx/A;I)Lx/B;",), ("(Lw/Z;)V",), ("I",), ("Lx/D$1;Lx/A;",), (None,)], "d string")

@@ -303,6 +303,75 @@ def remap_descriptors(t: Tables) -> DataFrame:
     return remap.remap_descriptors(refs, "descriptor", _mapping(t), "x/")
 
 
+RENAMES = """
+classes AS (SELECT 'c/P' || p_partkey AS original, 'y/Q' || (p_partkey // 2) AS mapped FROM part WHERE p_size <= 40
+            UNION ALL SELECT 'x/Mark', 'z/Mark'),
+methods AS (SELECT DISTINCT 'm' || (p_partkey % 8) AS original, 'call' || ((p_partkey % 8) // 2) AS mapped FROM part),
+fields AS (SELECT DISTINCT 'f' || (p_partkey % 6) AS original, 'value' || (p_partkey % 6) AS mapped FROM part)"""
+
+
+def _renames(t: Tables) -> DataFrame:
+    entry = lambda kind, original, mapped: t.part.select(lit(kind).alias("kind"), original.alias("original"), mapped.alias("mapped"))
+    key = col("p_partkey")
+    digit = lambda n, by=1: F.floor((key % n) / by).cast("string")
+    classes = entry("class", F.concat(lit("c/P"), text("p_partkey")), F.concat(lit("y/Q"), F.floor(key / 2).cast("string")))
+    return (
+        classes.where("p_size <= 40")
+        .union(entry("method", F.concat(lit("m"), digit(8)), F.concat(lit("call"), digit(8, 2))))
+        .union(entry("field", F.concat(lit("f"), digit(6)), F.concat(lit("value"), digit(6))))
+        .union(entry("class", lit("x/Mark"), lit("z/Mark")))
+    )
+
+
+@query("remap_records", f"""
+WITH {RECORDS}, {RENAMES},
+r AS (
+  SELECT records.*, coalesce(a.mapped, class_name) AS own, coalesce(b.mapped, 'c/P' || (l_partkey + 1)) AS next,
+         coalesce(m.mapped, method) AS called, coalesce(f.mapped, field) AS stored
+  FROM records LEFT JOIN classes a ON a.original = class_name LEFT JOIN classes b ON b.original = 'c/P' || (l_partkey + 1)
+  LEFT JOIN methods m ON m.original = method LEFT JOIN fields f ON f.original = field),
+facts AS (
+  SELECT 'class_defs' AS table_name, artifact_id, position, class_name, NULL AS owner, NULL AS name, NULL AS descriptor, NULL::BIGINT AS n FROM r
+  UNION ALL SELECT 'class_parents', artifact_id, position, class_name, super, NULL, NULL, NULL FROM r WHERE super IS NOT NULL
+  UNION ALL SELECT 'class_parents', artifact_id, position, class_name, interface, NULL, NULL, NULL FROM r WHERE interface IS NOT NULL
+  UNION ALL SELECT 'field_defs', artifact_id, position, class_name, NULL, stored, '[L' || own || ';', NULL FROM r
+  UNION ALL SELECT 'method_defs', artifact_id, position, class_name, NULL, called, '(L' || own || ';[Lx/Mark;)V', NULL FROM r
+  UNION ALL SELECT 'method_defs', artifact_id, position, class_name, NULL, lambda_name, '(L' || own || ';[Lx/Mark;)V', NULL FROM r
+  UNION ALL SELECT 'class_annotations', artifact_id, position, class_name, 'x/Mark', NULL, '{{"a":"x","n":' || n || '}}', NULL FROM r
+  UNION ALL SELECT 'field_annotations', artifact_id, position, class_name, 'x/Mark', stored, '[L' || own || ';', NULL FROM r WHERE annotated
+  UNION ALL SELECT 'method_references', artifact_id, position, class_name, own, called, '(L' || own || ';[Lx/Mark;)V', n + CASE WHEN own = next THEN 1 ELSE 0 END FROM r
+  UNION ALL SELECT 'method_references', artifact_id, position, class_name, next, called, '(L' || own || ';[Lx/Mark;)V', 1 FROM r WHERE own <> next
+  UNION ALL SELECT 'field_references', artifact_id, position, class_name, own, stored, own, 1 FROM r)
+SELECT * FROM facts""")
+def remap_records(t: Tables) -> DataFrame:
+    """All nine fact tables of records whose names are mapped, neighbours in the mapping becoming one."""
+    described = F.concat(lit("(L"), "name", lit(";[Lx/Mark;)V"))
+    typed = lambda column, value: F.transform(column, lambda m: m.withField("desc", value))
+    whole = records(t).withColumns({
+        "methods": typed("methods", described), "method_refs": typed("method_refs", described),
+        "fields": typed("fields", F.concat(lit("[L"), "name", lit(";"))), "field_refs": typed("field_refs", col("name")),
+    })
+    renamed = materialize(remap.remap_records(whole, _renames(t), class_prefix="c/", method_prefix="m", field_prefix="f"), "renamed")
+    none = lit(None).cast("string")
+    shapes = {
+        "class_defs": (none, none, none), "class_parents": (col("parent"), none, none),
+        "field_defs": (none, col("name"), col("descriptor")), "method_defs": (none, col("name"), col("descriptor")),
+        "class_annotations": (col("annotation"), none, col("value")),
+        "field_annotations": (col("annotation"), col("name"), col("descriptor")),
+        "method_annotations": (col("annotation"), col("name"), col("descriptor")),
+        "method_references": (col("owner"), col("name"), col("descriptor")), "field_references": (col("owner"), col("name"), col("descriptor")),
+    }
+    facts = []
+    for table, rows in flatten.flatten_records(renamed).items():
+        owner, name, descriptor = shapes[table]
+        n = col("count").cast("bigint") if "count" in rows.columns else lit(None).cast("bigint")
+        facts.append(rows.select(
+            lit(table).alias("table_name"), "artifact_id", "position", "class_name", owner.alias("owner"), name.alias("name"),
+            descriptor.alias("descriptor"), n.alias("n"),
+        ))
+    return reduce(DataFrame.union, facts)
+
+
 @query("compose_mappings", """
 WITH chained AS (
   SELECT p_type AS kind, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN 'o' || (s_suppkey % 17) END, 'm' || p_partkey) AS original,
