@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelens.plans import index_run
 from usagelens.schemas import CLASS_RECORD
-from usagelens.sinks.store import Store
+from usagelens.sinks.store import Change, Store
 from usagelens.sources.landing import TABLES, read
 from usagelens.streaming.ingest import ingest
 from tests.test_operators import record
@@ -63,6 +63,61 @@ def test_runs_are_repeatable_and_resolve_across_catalogues(spark, store, rows):
     assert rows(store.read("known_file_ids"), "catalogue", "file_id") == [("a", "f2"), ("a", "f3"), ("a", "f4"), ("b", "f1")]
 
 
+STEPS = ["tags", "artifacts"]  # among the facts, which change together, and after them
+
+
+@pytest.mark.parametrize("lost_at", STEPS)
+def test_a_lost_run_is_not_seen_and_its_ids_are_free(spark, store, rows, monkeypatch, lost_at):
+    """The driver goes between two tables, and the next run is about other files."""
+    Batch(spark, [("c1", "a", "1", "f1", "h1", "A", "x")]).run(store)
+    before = snapshot(store, rows)
+    append = Change.append
+
+    def stops(self, table, new, keys):
+        append(self, table, new, keys)
+        if table == lost_at:
+            raise OSError("lost")
+
+    monkeypatch.setattr(Change, "append", stops)
+    with pytest.raises(OSError):
+        Batch(spark, [("c2", "a", "2", "f2", "h2", "B", "y"), ("c3", "a", "3", "f3", "h3", "C", "z")]).run(store)
+    assert snapshot(store, rows) == before
+    monkeypatch.setattr(Change, "append", append)
+    pinned = store.snapshot()
+    Batch(spark, [("c4", "a", "4", "f4", "h4", "D", "w")]).run(store)
+    assert rows(store.read("artifacts"), "id", "name") == [(1, "A"), (2, "D")]
+    assert rows(store.read("class_defs")) == [(1, 0, "p/h1"), (2, 0, "p/h4")]
+    assert rows(store.read("tags"), "artifact_id") == [(1,), (2,)]
+    # A reader that began before sees all twelve tables as they were.
+    assert snapshot(pinned, rows) == before
+    after = snapshot(store, rows)
+    dead = store.vacuum()
+    assert dead[lost_at] and snapshot(store, rows) == after
+    assert not any(store.vacuum().values())
+
+
+def test_snapshots_are_not_changed(store):
+    with pytest.raises(ValueError):
+        store.snapshot().replace("known_files", store.read("known_files"), store.read("known_files").select("sha1"))
+
+
+def test_compacted_store_reads_alike(spark, store, rows, tmp_path):
+    for version in "nm":
+        Batch(spark, [("c1", "a", "1", "f1", f"h{version}", "A", "x")], methods=version).run(store)
+    target = store.compact(str(tmp_path / "compact"))
+    assert snapshot(target, rows) == snapshot(store, rows) and len(rows(target.read("class_defs"))) == 1
+    Batch(spark, [("c2", "a", "2", "f2", "h2", "B", "y")]).run(target)
+    assert rows(target.read("artifacts"), "id") == [(1,), (2,)]
+
+
+def test_a_batch_is_renamed(spark, store, rows):
+    batch = Batch(spark, [("c1", "a", "1", "f1", "h1", "A", "x")], methods="m_7")
+    mapping = spark.createDataFrame([("method", "m_7", "tick"), ("class", "ext/X", "no/X")], "kind string, original string, mapped string")
+    index_run.run_batch(store, batch.candidates, batch.records, batch.data, batch.extensions, batch.metadata, batch.digests, batch.files, renames={"mapping": mapping})
+    assert rows(store.read("method_defs"), "name") == [("tick",)]
+    assert rows(store.read("method_references"), "owner", "name") == [("ext/X", "call"), ("p/h1", "tick")]
+
+
 def test_known_hash_under_another_project_merges(spark, store, rows):
     Batch(spark, [("c1", "a", "1", "f1", "h1", "A", "x"), ("c2", "b", "t", "f2", "h2", "B", "y")]).run(store)
     got = Batch(spark, [("c3", "b", "t", "f3", "h1", "A", "x")]).run(store).collect()[0]

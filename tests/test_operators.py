@@ -437,6 +437,10 @@ def test_generations_replace_as_a_whole(spark, rows, tmp_path, monkeypatch):
     generations.replace(new, keys, path, "k")
     generations.compact(spark, path, current.schema, "k", str(tmp_path / "c"))
     assert rows(generations.read(spark, str(tmp_path / "c"), current.schema, "k")) == wanted
+    # The lost run, the refused one and the repeated ones are dead; the first and the last are read from.
+    assert len(generations.vacuum(spark, path, current.schema, "k")) == 4 and read() == wanted
+    assert generations.vacuum(spark, path, current.schema, "k") == []
+    assert sorted(p.name.split("=")[0] for p in (tmp_path / "t" / "rows").iterdir() if p.is_dir()) == ["_run", "_run"]
 
 
 def test_one_spelling_for_each_json_value(spark):

@@ -110,6 +110,13 @@ class Scratch:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no reader needs any more: dropping a database deletes its folder."""
+    name = f"gone_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 def write_counted(df: DataFrame, path: str) -> int:
     """Write ``df`` and return its row count, without a second job to count it."""
     seen = Observation()

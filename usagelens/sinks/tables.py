@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from ..session import materialize
+from ..session import materialize, remove_folder
 
 
 def replace_by_key(current: DataFrame, new: DataFrame, replaced: DataFrame, key: str) -> DataFrame:
@@ -112,6 +112,4 @@ def replace_in_buckets(new: DataFrame, replaced: DataFrame, path: str, key: str,
         .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
     )
     for bucket in touched - set(filled.get["buckets"]):
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BUCKET}={bucket}")
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
+        remove_folder(spark, f"{path}/{BUCKET}={bucket}")
