@@ -445,7 +445,11 @@ def test_generations_replace_as_a_whole(spark, rows, tmp_path, monkeypatch):
 
 def test_one_spelling_for_each_json_value(spark):
     spelled = {
-        "1e10": "10000000000", "10000000000": "10000000000", "1e-7": "1E-7", "0.0000001": "1E-7", "1.50": "1.5", "-0.0": "0",
+        "1e10": "10000000000", "10000000000": "10000000000", "1e-7": "0.0000001", "0.0000001": "0.0000001", "1.50": "1.5", "-0.0": "0", "-0e5": "0",
+        "1e2147483647": "1E2147483647", "10e2147483646": "1E2147483647", "1e3000000000": "1E3000000000", "-1e99999999999": "-1E99999999999", "0e99999999999": "0",
+        '{"a":"\\u0001#true","b":1.5e0}': '{"a":"\\u0001#true","b":1.5}', '{"n5":"a\\"n5","s":["s\\\\",1E0,"n1"]}': '{"n5":"a\\"n5","s":["s\\\\",1,"n1"]}',
+        "1" + "0" * 37: "1" + "0" * 37, "1e37": "1" + "0" * 37, "1e38": "1E38", "1" + "0" * 38: "1E38", "1." + "0" * 60: "1", "12e-39": "12E-39", "12e-38": "0." + "0" * 36 + "12",
+        "0." + "0" * 36 + "12": "0." + "0" * 36 + "12", "123456789012345678901234567890.5": "123456789012345678901234567890.5", "true": "true", '"1e5"': '"1e5"',
         "1" * 41: "1" * 41 + "E0", "1" * 40 + "2": "1" * 40 + "2E0", '{"b":1E2,"a":["x1.0", 1.0]}': '{"a":["x1.0",1],"b":100}',
         "null": "null", '{"a":1} junk': None, "1,2": None, "01": None, "1],[2": None, "": None,
     }

@@ -347,10 +347,11 @@ def remap_records(t: Tables) -> DataFrame:
     """All nine fact tables of records whose names are mapped, neighbours in the mapping becoming one."""
     described = F.concat(lit("(L"), "name", lit(";[Lx/Mark;)V"))
     typed = lambda column, value: F.transform(column, lambda m: m.withField("desc", value))
-    whole = records(t).withColumns({
+    landed = records(t).withColumns({
         "methods": typed("methods", described), "method_refs": typed("method_refs", described),
         "fields": typed("fields", F.concat(lit("[L"), "name", lit(";"))), "field_refs": typed("field_refs", col("name")),
     })
+    whole = materialize(landed, "landed")  # as class records are, before a run reads them
     renamed = materialize(remap.remap_records(whole, _renames(t), class_prefix="c/", method_prefix="m", field_prefix="f"), "renamed")
     none = lit(None).cast("string")
     shapes = {
