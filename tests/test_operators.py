@@ -11,7 +11,7 @@ from usagelens.operators.filters import Filter
 from usagelens.schemas import CLASS_RECORD
 from usagelens.functions.jsonvalues import canonical_json
 from usagelens.sinks import generations, tables
-from usagelens.sources import archives, catalogue, datafiles, describe, landing, metadata
+from usagelens.sources import archives, catalogue, datafiles, describe, landing, loaders, metadata
 
 # ------------------------------------------------------------------------ listing
 
@@ -664,3 +664,56 @@ def test_archives_to_metadata_tags_and_tree(spark, rows, tmp_path):
     assert rows(datafiles.tag_entries(files), "tag", "entry") == [("n/b/t", "minecraft:a")]
     tree = nested.build_nested(describe.nested_edges(entries), 1).select("nested_tree").collect()[0][0]
     assert tree == '[{"id":"g:plain","version":"0.0"},{"id":"g:lib","version":"1.0","nested":[{"id":"g:deep","version":"0.0"}]}]'
+
+
+def test_archives_as_each_loader_reads_them(spark, rows):
+    import io
+    import json
+    import zipfile
+
+    def pack(members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for path, content in members.items():
+                z.writestr(path, content)
+        return out.getvalue()
+
+    listed = lambda *names: json.dumps({"jars": [
+        {"identifier": {"group": "g", "artifact": n}, "version": {"artifactVersion": f"{i}.0"}, "path": f"{n}.jar"} for i, n in enumerate(names)]})
+    library = pack({"META-INF/MANIFEST.MF": "FMLModType: LIBRARY\r\nImplementation-Version: 9\r\n", "p/A.class": "", "META-INF/jarjar/metadata.json": listed("deep"),
+                    "deep.jar": pack({"META-INF/services/x.Service": "y", "q/B.class": ""})})
+    hidden = pack({"META-INF/jarjar/metadata.json": listed("lib"), "lib.jar": library, "x.txt": ""})  # no artifact, so nothing in it counts
+    flat = lambda i, v, **kw: json.dumps({"id": i, "version": v, **kw})
+    toml = 'license="MIT"\n[[mods]]\nmodId="m"\nversion="${file.jarVersion}"\nenumExtensions="META-INF/e.json"\n[[mods]]\nmodId="n"\nenumExtensions="META-INF/e.json"\n'
+    both = pack({
+        "META-INF/mods.toml": toml, "META-INF/MANIFEST.MF": "Implementation-Version: 7\n", "META-INF/jarjar/metadata.json": listed("hidden", "lib", "gone", "bad"),
+        "hidden.jar": hidden, "lib.jar": library, "bad.jar": b"no archive", "META-INF/e.json": "{}", "META-INF/other.json": "{}", "data/n/a.json": "1", "data/n/b.txt": "",
+        "fabric.mod.json": flat("flat", "2", name="Flat", license=["A", "B"], authors=["x", {"name": "y"}], jars=[{"file": "in.jar"}, {"file": "lib.jar"}]),
+        "in.jar": pack({"fabric.mod.json": flat("in", "3", jars=[{"file": "in.jar"}])}),
+    })
+    data = [("both", both), ("bad", b"no archive"), ("plain", pack({"x": ""})), ("lost", pack({"META-INF/mods.toml": '[[mods]]\nmodId="l"\nenumExtensions="no.json"'})),
+            ("broken", pack({"META-INF/mods.toml": "[[mods", "META-INF/services/x.Service": "", "fabric.mod.json": '{"id":"k"}'})), ("latin", pack({"META-INF/mods.toml": b"\xff"}))]
+    archives_ = spark.createDataFrame(data, "path string, content binary").repartition(3)
+    one = loaders.Loader("META-INF/mods.toml", ("x.Service",))
+    scanned = loaders.scan(archives_, one).cache()
+    assert rows(scanned, "archive", "container", "kind") == sorted([
+        ("bad", "", "failed"), ("both", "", "artifact"), ("both", "", "data"), ("both", "", "extension"), ("both", "!lib.jar", "artifact"), ("both", "!lib.jar!deep.jar", "artifact"),
+        ("broken", "", "artifact"), ("latin", "", "other"), ("lost", "", "artifact"), ("lost", "", "failed"), ("plain", "", "other"),
+    ], key=repr)
+    assert rows(loaders.artifacts(scanned, one), "archive", "container", "version", "name", "ids", "license", "coordinates") == sorted([
+        ("both", "", "7", "m", ["m", "n"], "MIT", None), ("both", "!lib.jar", "9", "g:lib", [], None, "g:lib"), ("both", "!lib.jar!deep.jar", "0.0", "g:deep", [], None, "g:deep"),
+        ("broken", "", "0.0NONE", "", [], None, None), ("lost", "", "0.0NONE", "l", ["l"], None, None)], key=repr)
+    assert rows(loaders.nested_trees(scanned)) == [("both", '[{"id":"g:lib","version":"1.0","nested":[{"id":"g:deep","version":"0.0"}]}]')]
+    assert rows(loaders.files(scanned, "extension")) == [("both", "META-INF/e.json", "{}")] and rows(loaders.files(scanned, "data")) == [("both", "data/n/a.json", "1")]
+    assert [r[0] for r in rows(loaders.failures(scanned))] == ["bad", "lost"]
+    stored = {r["archive"]: r for r in loaders.index_rows(scanned, one).collect()}
+    assert set(stored) == {"both", "broken", "lost"} and stored["both"]["metadata"] == toml and json.loads(stored["both"]["metadata_json"])["license"] == "MIT"
+    assert json.loads(stored["both"]["manifest"]) == {"": {"Implementation-Version": "7"}} and stored["lost"]["nested_tree"] is None
+
+    scanned = loaders.scan(archives_, loaders.JSON_LOADER).cache()
+    assert rows(loaders.artifacts(scanned, loaders.JSON_LOADER), "archive", "container", "version", "name", "ids", "license", "authors", "coordinates") == sorted([
+        ("both", "", "2", "Flat", ["flat"], "A, B", "x, y", None), ("both", "!in.jar", "3", "in", ["in"], None, None, "in")], key=repr)
+    assert rows(loaders.nested_trees(scanned)) == [("both", '[{"id":"in","version":"3"}]')]
+    assert rows(scanned.where("kind = 'other'"), "archive") == [("broken",), ("latin",), ("lost",), ("plain",)]
+    none = loaders.scan(archives_.limit(0), one)
+    assert none.count() == loaders.index_rows(none, one).count() == 0

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.fingerprint import content_fingerprint
 from ..functions.jsonvalues import canonical_json, json_text
 from ..operators import backfill, incremental, listing, lookups
-from ..session import new_path
+from ..session import materialize, new_path
 from ..sinks import generations, tables
-from ..sources import archives, metadata
+from ..sources import archives, datafiles, loaders, metadata
 from ..streaming.ingest import ingest
 from .registry import Tables, query
 from .roles import (
@@ -327,6 +327,61 @@ def archive_scan(t: Tables) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.BinaryType())
+def described(page: pd.Series, url: pd.Series, html: pd.Series) -> pd.Series:
+    """An archive per page: a descriptor that names one of two extension files, a tag file, a
+    contained library with the page in it, and a contained archive that is no artifact."""
+
+    def pack(members: dict) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for path, content in members.items():
+                z.writestr(zipfile.ZipInfo(path), content)
+        return out.getvalue()
+
+    listed = lambda *names: json.dumps({"jars": [
+        {"identifier": {"group": "g", "artifact": n}, "version": {"artifactVersion": "1.5"}, "path": f"lib/{n}.jar"} for n in names]})
+
+    def archive(n: int, address: str | None, content: str | None) -> bytes:
+        library = pack({"META-INF/MANIFEST.MF": f"FMLModType: LIBRARY\r\nImplementation-Version: {n}\r\n", "data/page.json": content or ""})
+        plain = pack({"readme.txt": "", "lib/library.jar": library, archives.LIST_BY_COORDINATE: listed("library")})
+        toml = f"license = 'MIT'\n[[mods]]\nmodId = 'm{n}'\nversion = '${{file.jarVersion}}'\nenumExtensions = 'ext/{n % 2}.json'\n"
+        entry = lambda name: json.dumps({"entries": [{"enum": "E", "name": name, "constructor": "()V", "parameters": [n]}]})
+        return pack({
+            "META-INF/mods.toml": toml if n % 5 else "[[mods", "META-INF/MANIFEST.MF": f"Implementation-Version: {n}.1\r\n",
+            archives.LIST_BY_COORDINATE: listed("plain", "library", "lost"), "lib/plain.jar": plain, "lib/library.jar": library,
+            "ext/0.json": entry("even"), "ext/1.json": entry("odd"), "data/n/tags/pages.json": json.dumps({"values": [(address or "").split("/")[2]]}),
+        })
+
+    return pd.Series([archive(*row) for row in zip(page, url, html)])
+
+
+@query("archive_describe", """
+WITH a AS (SELECT page_id::VARCHAR AS archive, page_id AS n, split_part(url, '/', 3) AS host FROM pages WHERE page_id % 5 <> 0)
+SELECT 'artifact' AS kind, archive, '' AS container, 'm' || n AS name, n || '.1' AS version,
+       '[{"id":"g:library","version":"1.5"}]' AS detail FROM a
+UNION ALL SELECT 'artifact', archive, '!lib/library.jar', 'g:library', n::VARCHAR, NULL FROM a
+UNION ALL SELECT 'extension', archive, '', CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END, NULL, '[' || n || ']' FROM a
+UNION ALL SELECT 'tag', archive, '', 'n/pages', NULL, 'minecraft:' || host FROM a""")
+def archive_describe(t: Tables) -> DataFrame:
+    """Artifacts, extension entries and tags of archives; files no descriptor names and archives in others that are no artifact do not count."""
+    made = t.pages.select(text("page_id").alias("path"), described("page_id", "url", "html").alias("content"))
+    scanned = materialize(loaders.scan(made, loaders.TOML_LOADER), "scanned")
+    nothing = lit(None).cast("string")
+    keyed = lambda kind: loaders.files(scanned, kind).withColumnRenamed("archive", "artifact_id")
+    found = loaders.artifacts(scanned, loaders.TOML_LOADER).join(
+        loaders.nested_trees(scanned).withColumn("container", lit("")), ["archive", "container"], "left"
+    )
+    whole = found.select(lit("artifact").alias("kind"), "archive", "container", "name", "version", col("nested_tree").alias("detail"))
+    extensions = datafiles.extension_entries(keyed("extension")).select(
+        lit("extension").alias("kind"), col("artifact_id").alias("archive"), lit("").alias("container"), "name", nothing.alias("version"), col("parameters").alias("detail")
+    )
+    tags = datafiles.tag_entries(keyed("data")).select(
+        lit("tag").alias("kind"), col("artifact_id").alias("archive"), lit("").alias("container"), col("tag").alias("name"), nothing.alias("version"), col("entry").alias("detail")
+    )
+    return whole.union(extensions).union(tags)
+
+
 # The hash is a chain over four-byte words; 1540483477 is its multiplier.
 MURMUR = """
 WITH bare AS (SELECT doc_id, hex(encode(regexp_replace(text, '[\t\n\r ]', '', 'g'))) AS x FROM documents),
