@@ -41,7 +41,7 @@ class Batch:
 
 def snapshot(store, rows):
     without_date = lambda t: [c for c in store.schemas[t].names if c != "index_date"]
-    return {t: rows(store.read(t), *without_date(t)) for t in store.schemas}
+    return {t: rows(store.read(t), *without_date(t)) for t in store.schemas if t != "outcomes"}
 
 
 def test_runs_are_repeatable_and_resolve_across_catalogues(spark, store, rows):
@@ -168,3 +168,28 @@ def test_stream_hands_over_new_files_only(spark, tmp_path):
     run = lambda: ingest(spark, landing, spark.range(0).schema, lambda df, _: seen.append(sorted(r.id for r in df.collect())), state).awaitTermination()
     put(1), run(), run(), put(2), put(3), run()
     assert [s for s in seen if s] == [[1], [2, 3]]
+
+
+def test_bad_candidates_do_not_stop_the_others(spark, store, rows):
+    """One file that cannot be read, one with a record without name, one that breaks a rule; then they come mended."""
+    files = [(f"c{i}", "a", str(i), f"f{i}", f"h{i}", f"N{i}", f"d{i}") for i in range(1, 6)]
+    Batch(spark, files[:1]).run(store)
+    batch = Batch(spark, files)
+    broken = F.when(F.col("sha1") == "h4", F.array(F.lit("i/I"), F.lit("i/I"))).otherwise(F.col("interfaces"))
+    batch.records = batch.records.withColumns({"interfaces": broken, "name": F.when(F.col("sha1") != "h3", F.col("name"))})
+    failures = spark.createDataFrame([("h2", "no archive"), ("h2", "z"), ("h1", "known files are not read")], "sha1 string, error string")
+    run = lambda b, **kw: dict(
+        candidates=b.candidates, records=b.records, data_files=b.data, extension_files=b.extensions, metadata=b.metadata, digests=b.digests, project_files=b.files, **kw)
+    got = index_run.run_steps(store, [("one", lambda _: run(batch, failures=failures))])
+    assert rows(got, "candidate_id", "outcome", "error") == sorted([
+        ("c1", "known", None), ("c2", "index_failed", "no archive"), ("c3", "index_failed", "a record lacks its name or a list"),
+        ("c4", "store_failed", "parent listed twice: p/h4"), ("c5", "new", None)], key=repr)
+    assert rows(index_run.summary(got)) == [("one", 4, 2, 1, 1, 3)]
+    stored = rows(store.read("artifacts"), "name")
+    assert stored == [("N1",), ("N5",)] and rows(store.read("known_files"), "sha1") == [("h1",), ("h5",)]
+    assert rows(store.read("class_defs"), "class_name") == [("p/h1",), ("p/h5",)] and rows(store.read("known_file_ids"), "file_id") == [("f1",), ("f5",)]
+    # The step has outcomes, so it is left out; the next one brings the files as they should be.
+    steps = [("one", lambda _: 1 / 0), ("two", lambda _: run(Batch(spark, files)))]
+    done = index_run.run_steps(store, steps)
+    assert rows(done.where("label = 'two'"), "candidate_id", "outcome") == [("c1", "known"), ("c2", "new"), ("c3", "new"), ("c4", "new"), ("c5", "known")]
+    assert len(rows(store.read("class_defs"))) == len({r.id for r in store.read("artifacts").collect()}) == 5
