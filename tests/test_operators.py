@@ -110,6 +110,14 @@ def test_descendants_of_a_long_chain(spark):
     assert closure.descendants(edges, root).count() == 40
 
 
+def test_closure_of_null_ends_repeats_and_nothing(spark, rows):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (None, 3), (2, None)], "parent int, child int")
+    roots = spark.createDataFrame([(1,), (1,), (None,)], "root int")
+    assert rows(closure.descendants(edges, roots), "root", "node") == [(1, 2)]
+    assert closure.descendants(edges.where("false"), roots).count() == 0
+    assert closure.descendants(edges, roots.where("false")).count() == 0
+
+
 def test_descendants_of_a_hub_with_most_edges(spark):
     hub = spark.range(1, 20001).selectExpr("0 as parent", "id as child")
     tail = spark.range(1, 20001).selectExpr("id as parent", "id + 100000 as child")
@@ -118,7 +126,9 @@ def test_descendants_of_a_hub_with_most_edges(spark):
     assert {r[0]: r[1] for r in got} == {0: 40000, 5: 1}
 
 
-def test_closure_of_random_graphs_equals_brute_force(spark, rows):
+@pytest.mark.parametrize("bound", [closure.BOUND, 1, 3])
+def test_closure_of_random_graphs_equals_brute_force(spark, rows, bound):
+    """Small bounds deal edges to slices and frontier rows to salts."""
     import random
     rng = random.Random(3)
     pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
@@ -130,7 +140,7 @@ def test_closure_of_random_graphs_equals_brute_force(spark, rows):
         below = wider
     edges = spark.createDataFrame(sorted(pairs), "parent int, child int")
     roots = spark.range(30).selectExpr("cast(id as int) as root")
-    assert rows(closure.descendants(edges, roots), "root", "node") == sorted(
+    assert rows(closure.descendants(edges, roots, bound), "root", "node") == sorted(
         ((n, x) for n, s in below.items() for x in s), key=repr
     )
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from usagelens.operators import clean, closure, dictionary, flatten, listing, lookups, nested, remap, resolve
-from usagelens.session import materialize
+from usagelens.session import Scratch, materialize
 from usagelens.sinks import tables
 
 N = 300_000
@@ -108,6 +108,28 @@ def test_classes_of_a_hot_artifact_are_complete(spark):
     assert got.count() == N and is_split(got)
 
 
+def test_a_round_of_the_closure_moves_no_edges(spark):
+    edges = hot(spark, 60_000).select(F.col("k").alias("parent"), (F.col("id") + 1_000_000).alias("child"))
+    frontier = materialize(spark.range(1000).select(F.col("id").alias("root"), F.col("id").alias("node")), "frontier")
+    with Scratch(spark, "closure") as scratch:
+        graph = closure.lay_out(edges, scratch, bound=1000)
+        assert [(r.node, r.slices) for r in graph.hubs.collect()] == [(0, 21)]
+        biggest = graph.edges.groupBy("node", "slice").count().agg(F.max("count")).first()[0]
+        assert biggest < 1200
+        placed = closure.one_step(frontier, 1000, graph, scratch)
+        placed.collect()
+        lines = placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and "slice#" in line and "Bucketed: true" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    above, least = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < least:
+            above, least = [*above, line], depth(line)
+            if "SortMergeJoin" in line:
+                break
+    assert "SortMergeJoin" in above[-1] and not any("Exchange" in line for line in above)
+
+
 def test_hub_parent_in_closure(spark):
     edges = hot(spark, 60_000).select(F.col("k").alias("parent"), (F.col("id") + 1_000_000).alias("child"))
     roots = spark.range(3).select(F.col("id").alias("root"))

@@ -93,11 +93,24 @@ class Scratch:
         self.spark, self.name = spark, f"{label}_{uuid.uuid4().hex}"
         spark.sql(f"CREATE DATABASE {self.name} LOCATION '{os.path.join(shared_dir(spark), self.name)}'")
 
-    def write(self, df: DataFrame, table: str, key: str | None = None, buckets: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
+    def write(
+        self, df: DataFrame, table: str, key: str | tuple[str, ...] = (), buckets: int = 0, order: tuple[str, ...] = ()
+    ) -> DataFrame:
         writer = df.write.format("parquet")
-        if key:
-            writer = writer.bucketBy(buckets, key).sortBy(*order)
+        keys = (key,) if isinstance(key, str) else key
+        if keys:
+            writer = writer.bucketBy(buckets, *keys)
+        if order:
+            writer = writer.sortBy(*order)
         writer.saveAsTable(f"{self.name}.{table}")
+        return self.table(table)
+
+    def append(self, df: DataFrame, table: str, key: tuple[str, ...], buckets: int, part: str, path: str) -> None:
+        """Add rows, in buckets of ``key`` and folders by ``part``, to a table whose files at ``path`` outlive the run."""
+        writer = df.write.format("parquet").mode("append").partitionBy(part).bucketBy(buckets, *key)
+        writer.option("path", path).saveAsTable(f"{self.name}.{table}")
+
+    def table(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}.{table}")
 
     def drop(self, table: str) -> None:
@@ -110,6 +123,11 @@ class Scratch:
         self.spark.sql(f"DROP DATABASE IF EXISTS {self.name} CASCADE")
 
 
+def partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle of the session has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that no reader needs any more: dropping a database deletes its folder."""
     name = f"gone_{uuid.uuid4().hex}"
