@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from usagelens.operators import flatten
 from usagelens.plans import index_run
 from usagelens.schemas import CLASS_RECORD
+from usagelens.sinks.dictionaries import KEYS, Dictionaries
 from usagelens.sinks.store import Change, Store
 from usagelens.sources.landing import TABLES, read
 from usagelens.streaming.ingest import ingest
@@ -193,3 +195,42 @@ def test_bad_candidates_do_not_stop_the_others(spark, store, rows):
     done = index_run.run_steps(store, steps)
     assert rows(done.where("label = 'two'"), "candidate_id", "outcome") == [("c1", "known"), ("c2", "new"), ("c3", "new"), ("c4", "new"), ("c5", "known")]
     assert len(rows(store.read("class_defs"))) == len({r.id for r in store.read("artifacts").collect()}) == 5
+
+
+def test_stored_dictionaries_keep_ids_and_lost_runs_leave_none(spark, tmp_path, rows, monkeypatch):
+    held = Dictionaries(spark, str(tmp_path / "d")).create()
+    of = lambda *recs: flatten.flatten_records(spark.createDataFrame(list(recs), CLASS_RECORD))
+    one = record(1, "p/A", "q/Base", methods=[("m", "()V", 1)], mrefs=[("ext/X", "call", "()V", 2)])
+    two = record(2, "p/B", None, methods=[("m", "()V", 1), ("a", "()I", 1)], mrefs=[("p/A", "m", "()V", 1)])
+    held.extend(of(one))
+    first = {name: rows(held.read(name), "id", *KEYS[name]) for name in KEYS}
+    assert first["classes"] == [(1, "ext/X"), (2, "p/A"), (3, "q/Base")]
+    assert first["constants"] == [(1, "()V"), (2, "call"), (3, "m")]
+    assert first["methods"] == [(1, 1, 2, 1), (2, 2, 3, 1)] and first["fields"] == []
+
+    # A run that is lost before its publication leaves nothing to be seen, and its ids stay free.
+    with monkeypatch.context() as patch:
+        patch.setattr(Dictionaries, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            held.extend(of(record(9, "lost/C", "lost/D")))
+    assert {name: rows(held.read(name), "id", *KEYS[name]) for name in KEYS} == first
+    held.extend(of(one, two))
+    held.extend(of(one, two))
+    assert rows(held.read("classes"), "id", "name") == [*first["classes"], (4, "p/B")]
+    assert rows(held.read("constants"), "id", "constant") == [*first["constants"], (4, "()I"), (5, "a")]
+    assert rows(held.spelled("methods"), "id", "owner", "name", "descriptor") == [
+        (1, "ext/X", "call", "()V"), (2, "p/A", "m", "()V"), (3, "p/B", "m", "()V"), (4, "p/B", "a", "()I")]
+    coded = held.encode(of(one, two, record(3, "not/Known", None)))
+    assert rows(coded["class_defs"], "artifact_id", "class_name") == [(1, 2), (2, 4), (3, None)]
+    assert rows(coded["method_references"], "class_name", "member", "count") == [(2, 1, 2), (4, 2, 1)]
+    assert rows(coded["method_defs"], "class_name", "member") == [(2, 2), (4, 3), (4, 4)]
+
+
+def test_annotation_texts_of_the_index_become_ids_of_json_values(spark, tmp_path, rows):
+    held = Dictionaries(spark, str(tmp_path / "d")).create()
+    held.extend_values(spark.createDataFrame([('{"k":1}',), (None,)], "value string"))
+    texts = spark.createDataFrame([(7, "b=true"), (8, "k=1"), (9, "k=1.0"), (10, None)], "id long, constant string")
+    facts = spark.createDataFrame([(1, 7), (2, 8), (3, 9), (4, 10)], "owner long, value long")
+    got = held.convert_annotations(texts, facts)
+    assert rows(held.read("json_values"), "id", "value") == [(1, '{"k":1}'), (2, '{"b":true}'), (3, "{}")]
+    assert rows(got, "owner", "value") == [(1, 2), (2, 1), (3, 1), (4, 3)]

@@ -38,17 +38,19 @@ def dense_rank_rows(rows: DataFrame, keys: list[str], name: str = "rank") -> Dat
     )
 
 
-def extend(existing: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing(id, keys...)`` plus an id for every value it lacks.
+def fresh(existing: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``(id, keys...)`` of the values that ``existing(id, keys...)`` lacks.
 
-    Known ids never change; new ones continue after the greatest, in key order,
-    so running the same batch again gives the same ids.
+    Ids continue after the greatest, in key order, so the same batch gives the same ids again.
     """
-    fresh = values.select(*keys).distinct().join(existing, keys, "left_anti")
+    new = values.select(*keys).distinct().join(existing, keys, "left_anti")
     start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
-    added = dense_rank_rows(fresh, keys).select((F.col("rank") + start).alias("id"), *keys)
-    return existing.select("id", *keys).union(added)
+    return dense_rank_rows(new, keys).select((F.col("rank") + start).alias("id"), *keys)
+
 
+def extend(existing: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``existing(id, keys...)`` plus an id for every value it lacks. Known ids never change."""
+    return existing.select("id", *keys).union(fresh(existing, values, keys))
 
 
 def build(values: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import jsonvalues
 from ..functions.scalars import tag_search_key
 from ..operators import clean, dictionary, flatten, remap
-from ..session import materialize
+from ..session import materialize, new_path
+from ..sinks.dictionaries import KEYS, Dictionaries
 from ..sources import datafiles
 from .registry import Tables, query
 from .roles import RECORDS, col, lit, records, text
@@ -164,6 +165,63 @@ def composite_dictionary(t: Tables) -> DataFrame:
     return dictionary.member_dictionary(m, classes, dictionary.build(words, ["constant"]))
 
 
+# Entries of the first lines' records come before all others.
+FIRST_BATCH = 2_000_000_000_000_000
+
+
+@query("stored_dictionaries", f"""
+WITH {RECORDS},
+class_values AS (
+  SELECT class_name AS name, position FROM records UNION ALL SELECT super, position FROM records
+  UNION ALL SELECT interface, position FROM records UNION ALL SELECT owner, position FROM method_references
+  UNION ALL SELECT 'I', position FROM records UNION ALL SELECT 'x/Mark', position FROM records),
+constant_values AS (
+  SELECT method AS name, position FROM records UNION ALL SELECT lambda_name, position FROM records
+  UNION ALL SELECT '()V', position FROM records UNION ALL SELECT field, position FROM records),
+json_texts AS (SELECT '{{"a":"x","n":' || n || '}}' AS name, position FROM records),
+method_values AS (
+  SELECT class_name AS owner, method AS name, position FROM records UNION ALL SELECT class_name, lambda_name, position FROM records
+  UNION ALL SELECT owner, name, position FROM method_references),
+classes AS (SELECT row_number() OVER (ORDER BY min(position) >= {FIRST_BATCH}, name) AS id, name FROM class_values WHERE name IS NOT NULL GROUP BY name),
+constants AS (SELECT row_number() OVER (ORDER BY min(position) >= {FIRST_BATCH}, name) AS id, name FROM constant_values GROUP BY name),
+json_values AS (SELECT row_number() OVER (ORDER BY min(position) >= {FIRST_BATCH}, name) AS id, name FROM json_texts GROUP BY name),
+m AS (SELECT owner, name, min(position) >= {FIRST_BATCH} AS late FROM method_values GROUP BY owner, name),
+f AS (SELECT class_name AS owner, field AS name, min(position) >= {FIRST_BATCH} AS late FROM records GROUP BY ALL),
+methods AS (
+  SELECT row_number() OVER (ORDER BY late, c.id, k.id, d.id) AS id, c.id AS cls, k.id AS name, d.id AS descriptor, m.owner, m.name AS called
+  FROM m JOIN classes c ON c.name = m.owner JOIN constants k ON k.name = m.name JOIN constants d ON d.name = '()V'),
+fields AS (
+  SELECT row_number() OVER (ORDER BY late, c.id, k.id, d.id) AS id, c.id AS cls, k.id AS name, d.id AS descriptor
+  FROM f JOIN classes c ON c.name = f.owner JOIN constants k ON k.name = f.name JOIN classes d ON d.name = 'I')
+SELECT 'classes' AS kind, id, name AS text, NULL::BIGINT AS cls, NULL::BIGINT AS name, NULL::BIGINT AS descriptor, NULL::BIGINT AS n FROM classes
+UNION ALL SELECT 'constants', id, name, NULL, NULL, NULL, NULL FROM constants
+UNION ALL SELECT 'json_values', id, name, NULL, NULL, NULL, NULL FROM json_values
+UNION ALL SELECT 'methods', id, NULL, cls, name, descriptor, NULL FROM methods
+UNION ALL SELECT 'fields', id, NULL, cls, name, descriptor, NULL FROM fields
+UNION ALL SELECT 'uses of a method', m.id, NULL, NULL, NULL, NULL, sum(r."count")::BIGINT
+FROM method_references r JOIN methods m ON m.owner = r.owner AND m.called = r.name GROUP BY m.id
+UNION ALL SELECT 'uses of a value', j.id, NULL, NULL, NULL, NULL, count(*) FROM json_texts t JOIN json_values j USING (name) GROUP BY j.id""")
+def stored_dictionaries(t: Tables) -> DataFrame:
+    """Dictionaries of a first batch, extended by all records, and facts that hold their ids."""
+    whole = records(t)
+    held = Dictionaries(t.spark, new_path(t.spark, "dictionaries")).create()
+    held.extend(flatten.flatten_records(whole.where(col("position") < FIRST_BATCH)))
+    facts = flatten.flatten_records(whole)
+    held.extend(facts)
+    coded = held.encode({name: facts[name] for name in ("method_references", "class_annotations")})
+    none = lit(None).cast("bigint")
+    shape = lambda kind, df, text, keys, n: df.select(
+        lit(kind).alias("kind"), "id", text.cast("string").alias("text"),
+        *[k.alias(name) for k, name in zip(keys, ("cls", "name", "descriptor"))], n.cast("bigint").alias("n"),
+    )
+    plain = [shape(k, held.read(k), col(KEYS[k][0]), (none,) * 3, none) for k in ("classes", "constants", "json_values")]
+    members = [shape(k, held.read(k), none, (col("cls"), col("name"), col("descriptor")), none) for k in ("methods", "fields")]
+    called = coded["method_references"].groupBy(col("member").alias("id")).agg(F.sum("count").alias("n"))
+    valued = coded["class_annotations"].groupBy(col("value").alias("id")).agg(F.count(lit(1)).alias("n"))
+    used = [shape(kind, df, none, (none,) * 3, col("n")) for kind, df in (("uses of a method", called), ("uses of a value", valued))]
+    return reduce(DataFrame.union, [*plain, *members, *used])
+
+
 # -------------------------------------------------------------------- cleaning
 
 PUBLIC_FIELD, PUBLIC_METHOD = "(field_access & 5) != 0 OR annotated", "(method_access & 5) != 0"
