@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -140,3 +142,9 @@ def write_counted(df: DataFrame, path: str) -> int:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return seen.get["rows"]
+
+
+def at_once(action: Callable, names: Iterable, width: int = 4) -> list:
+    """Hand independent jobs to Spark together, so that they share the cluster."""
+    with ThreadPoolExecutor(width) as pool:
+        return list(pool.map(action, names))
