@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.fingerprint import entry_set_digest
 from ..operators import resolve
+from ..session import materialize
 from .registry import Tables, query
 from .roles import ARTIFACTS, FILES, artifacts, col, files, lit, text
 
@@ -300,3 +301,40 @@ def merged_known_files(t: Tables) -> DataFrame:
     known = t.lineitem.select(col("l_partkey").alias("artifact_id"), text("l_orderkey").alias("sha1"))
     _, moved = resolve.merge_entities(artifacts(t), known, _merges(t))
     return moved.groupBy("artifact_id").agg(F.count(lit(1)).alias("files"))
+
+
+# Parts merge into the one of half their number, unless that number is a multiple of three:
+# chains of many lengths. Under negative ids, neighbours merge into each other.
+CHAINS = """
+merges AS (
+  SELECT p_partkey AS old_id, p_partkey // 2 AS new_id FROM part WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT -p_partkey, -xor(p_partkey, 1) FROM part),
+reached AS (
+  SELECT old_id AS root, new_id AS node FROM merges
+  UNION SELECT r.root, m.new_id FROM reached r JOIN merges m ON m.old_id = r.node),
+ends AS (
+  SELECT root, coalesce(min(node) FILTER (WHERE NOT moves), min(node)) AS node
+  FROM (SELECT root, node, EXISTS (SELECT 1 FROM merges WHERE old_id = node) AS moves FROM reached) GROUP BY root),
+settled AS (SELECT root AS old_id, node AS new_id FROM ends WHERE root <> node)"""
+
+
+@query("chained_merges", f"""
+WITH RECURSIVE {CHAINS},
+known AS (SELECT l_partkey AS artifact_id FROM lineitem UNION ALL SELECT -l_partkey FROM lineitem)
+SELECT 'merge' AS kind, old_id, new_id, NULL::BIGINT AS files FROM settled
+UNION ALL
+SELECT 'files', NULL, coalesce(new_id, artifact_id), count(*) FROM known LEFT JOIN settled ON old_id = artifact_id GROUP BY ALL""")
+def chained_merges(t: Tables) -> DataFrame:
+    """Merges that follow one another or go in a circle, each settled in one step, and known files after them."""
+    part = col("p_partkey")
+    halves = t.part.where(part % 3 != 0).select(part.alias("old_id"), F.floor(part / 2).alias("new_id"))
+    mutual = t.part.select((-part).alias("old_id"), (-part.bitwiseXOR(lit(1))).alias("new_id"))
+    settled = materialize(resolve.settle_merges(halves.union(mutual)), "settled")
+    line = text("l_orderkey").alias("sha1")
+    known = t.lineitem.select(col("l_partkey").alias("artifact_id"), line).union(t.lineitem.select(-col("l_partkey"), line))
+    _, moved = resolve.merge_entities(artifacts(t), known, settled)
+    files = moved.groupBy("artifact_id").agg(F.count(lit(1)).alias("files"))
+    none = lit(None).cast("bigint")
+    return settled.select(lit("merge").alias("kind"), "old_id", "new_id", none.alias("files")).union(
+        files.select(lit("files"), none, "artifact_id", "files")
+    )
