@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.operators import flatten
+from usagelens.operators import flatten, listing
+from usagelens.operators.filters import Filter
 from usagelens.plans import index_run
+from usagelens.plans.browse import Browser
 from usagelens.schemas import CLASS_RECORD
 from usagelens.sinks.dictionaries import KEYS, Dictionaries
 from usagelens.sinks.store import Change, Store
@@ -234,3 +236,43 @@ def test_annotation_texts_of_the_index_become_ids_of_json_values(spark, tmp_path
     got = held.convert_annotations(texts, facts)
     assert rows(held.read("json_values"), "id", "value") == [(1, '{"k":1}'), (2, '{"b":true}'), (3, "{}")]
     assert rows(got, "owner", "value") == [(1, 2), (2, 1), (3, 1), (4, 3)]
+
+
+def test_whole_metadata_is_stored_and_browsed_at_one_publication(spark, store, rows):
+    def batch(license, name):
+        made = Batch(spark, [("c1", "a", "1", "f1", f"h{license}", name, "x"), ("c2", "b", "tb", "f2", f"i{license}", "B", "y")])
+        whole = F.struct(F.lit(license).alias("license"), F.lit("N. N.").alias("authors"), F.lit('[{"id":"in","version":"1"}]').alias("nested_tree"),
+                         F.lit("text").alias("metadata"), F.lit('{"modLoader":"l"}').alias("metadata_json"), F.lit('{"":{}}').alias("manifest"))
+        made.metadata = made.metadata.select("*", F.inline(F.array(whole)))
+        return made
+
+    empty = Browser(store)
+    batch("MIT", "A").run(store)
+    before = Browser(store)
+    batch("BSD", "Z").run(store)
+    now = Browser(store)
+    assert rows(empty.list()) == [] and rows(empty.facets()) == []
+    assert rows(before.list(), "artifact_name", "license", "language_loader", "pid") == [("A", "MIT", "l", "1"), ("B", "MIT", "l", "tb")]
+    assert rows(now.list(), "artifact_name", "license") == [("B", "BSD"), ("Z", "BSD")]
+    stored = ["license", "authors", "nested_tree", "metadata", "metadata_json", "manifest"]
+    assert rows(now.artifacts(), *stored)[0] == ("BSD", "N. N.", '[{"id":"in","version":"1"}]', "text", '{"modLoader":"l"}', '{"":{}}')
+    assert rows(now.list([Filter(listing.CLASS_NAME, "=", "p/hBSD")]), "artifact_name") == [("Z",)]
+    assert rows(now.list([Filter(listing.CLASS_NAME, "=", "p/hMIT")])) == []
+    assert rows(now.count([Filter(listing.CONTAINED, "=", "in")])) == [(2,)]
+    packs = spark.createDataFrame([("k", 1)], "pack_id string, int_project_id int")
+    assert rows(now.list([Filter(listing.IN_PACK, "=", "k")], packs), "pid") == [("1",)]
+    asked = spark.createDataFrame([("1",), ("tb",), ("9",), (None,)], "pid string")
+    assert rows(before.classes(asked)) == [("1", "p/hMIT"), ("tb", "p/iMIT")]
+    assert rows(now.classes(asked)) == [("1", "p/hBSD"), ("tb", "p/iBSD")]
+    assert {r["value"] for r in now.facets().where("facet = 'License'").collect()} == {"BSD"}
+    assert rows(now.containing([Filter(listing.CONTAINED, "=", "in")]), "name") == [("B",), ("Z",)]
+    keys = spark.createDataFrame([("name", "Z")], "kind string, key string")
+    assert rows(now.lookup(keys), "key") == [("Z",)]
+
+
+def test_reads_of_a_few_keys_do_not_shuffle_the_table(spark, store, rows):
+    Batch(spark, [(f"c{n}", "a", str(n), f"f{n}", f"h{n}", f"A{n}", "x") for n in range(1, 9)]).run(store)
+    wanted = spark.createDataFrame([(2,), (5,), (77,)], "artifact_id bigint")
+    few = store.read_keys("class_defs", wanted)
+    assert rows(few, "artifact_id") == [(2,), (5,)]
+    assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()

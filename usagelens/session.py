@@ -144,7 +144,7 @@ def write_counted(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def at_once(action: Callable, names: Iterable, width: int = 4) -> list:
+def at_once(action: Callable, names: Iterable, width: int = 8) -> list:
     """Hand independent jobs to Spark together, so that they share the cluster."""
     with ThreadPoolExecutor(width) as pool:
         return list(pool.map(action, names))
