@@ -184,3 +184,19 @@ def test_other_joins_with_an_aggregated_side_are_split(spark):
     keys = rows.where("k <> 0").select("k")
     left = tables.replace_by_key(rows, rows.where("false"), keys, "k")
     assert left.count() == ZEROS and is_split(left)
+
+
+def test_hot_and_missing_keys_beside_known_ones(spark):
+    """A third asks for one hash, another third for none."""
+    files = spark.range(N, numPartitions=8).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit("0")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("sha1"),
+        F.sha2(F.col("id").cast("string"), 256).alias("load"),
+    )
+    known = files.where("id % 6 < 2").groupBy("sha1").agg(F.min("id").alias("artifact_id"))
+    found = lookups.by_hash(files, known)
+    assert is_split(found)
+    assert (found.count(), found.where("artifact_id is null").count()) == (N, N // 3 + N // 6)
+    new = lookups.unknown_hashes(files, known)
+    assert is_split(new) and new.count() == N // 3 + N // 6 and new.where("sha1 is null").count() == N // 3
+    absent = lookups.not_indexed(files, known, "sha1")
+    assert absent.columns[:1] == ["sha1"] and absent.count() == N // 3 + N // 6

@@ -29,14 +29,25 @@ def lookup(requests: DataFrame, artifacts: DataFrame) -> DataFrame:
     return asked.join(lookup_keys(artifacts), ["kind", "key"])
 
 
+def _beside(rows: DataFrame, known: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with a written or stored side that keeps all of them or drops those that meet a row.
+
+    Rows without a key meet nothing, so they are not shuffled to the one task that null
+    keys would share.
+    """
+    keyed = F.col(key).isNotNull()
+    met = rows.where(keyed).join(known.where(keyed), key, how)
+    return met.unionByName(rows.where(~keyed), allowMissingColumns=True)
+
+
 def by_hash(hashes: DataFrame, known_files: DataFrame) -> DataFrame:
-    """Every requested ``sha1`` with the artifact it is known for, or null."""
-    return hashes.join(known_files.select("sha1", "artifact_id"), "sha1", "left")
+    """Every requested ``sha1`` with the artifact it is known for, or null; many may ask for one hash."""
+    return _beside(hashes, materialize(known_files.select("sha1", "artifact_id"), "known"), "sha1", "left")
 
 
 def unknown_hashes(files: DataFrame, known_files: DataFrame) -> DataFrame:
     """Files still to index: those whose hash is not known."""
-    return files.join(known_files.select("sha1"), "sha1", "left_anti")
+    return _beside(files, materialize(known_files.select("sha1").distinct(), "known"), "sha1", "left_anti")
 
 
 def members_of(artifacts: DataFrame, wanted: DataFrame, id_column: str) -> DataFrame:
@@ -46,7 +57,7 @@ def members_of(artifacts: DataFrame, wanted: DataFrame, id_column: str) -> DataF
 
 def not_indexed(projects: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
     """Projects the index has no artifact for."""
-    return projects.join(artifacts.select(key).distinct(), key, "left_anti")
+    return _beside(projects, materialize(artifacts.select(key).distinct(), "indexed"), key, "left_anti")
 
 
 def duplicate_names(artifacts: DataFrame, key: str = "name", at_least: int = 2) -> DataFrame:
