@@ -1,0 +1,31 @@
+"""Joins whose tables grow with the corpus are not built on the driver, at Spark's own broadcast threshold."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from usagelens.llm import components, simhash
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_not_broadcast(llm):
+    # The files of these classes are small, what explode makes of them is not.
+    classes = llm.range(1000).select(F.xxhash64("id").alias("fp"), "id")
+    assert "BroadcastHashJoin" not in plan(simhash.links(classes))
+
+
+@pytest.mark.parametrize("work, steps", [(simhash.groups, {"edges", "large", "placed"}), (simhash.keep_one, {"edges", "large", "kept"})])
+def test_no_step_of_near_copies_is_broadcast(llm, monkeypatch, work, steps):
+    plans = []
+    for module in (simhash, components):
+        write = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, label, write=write: plans.append((label, plan(df))) or write(df, label))
+    long = " ".join(f"w{i}" for i in range(400))
+    docs = llm.createDataFrame([(i, f"{long} {i % 3}") for i in range(6)] + [(9, "another text")], "doc_id bigint, text string")
+    work(docs).collect()
+    assert steps <= {label for label, _ in plans}
+    assert not [label for label, text in plans if "BroadcastHashJoin" in text]

@@ -12,7 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links larger neighbours to the least neighbour, then smaller ones, until
     every node hangs at the least of its component. A node with very many edges is one
-    row on the side that is aggregated and written, so the join on it is split.
+    row on the side that is aggregated and written, so the join on it is split. All
+    joins are by sort and merge, since their tables grow with the links and their files
+    tell little of the memory that a broadcast would take on the driver.
     """
     current = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
@@ -21,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large")
         lowest = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
-        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(lowest.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = materialize(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "edges")
         before, state = state, _state(current)
         if state == before:

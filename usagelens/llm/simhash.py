@@ -86,7 +86,8 @@ def links(classes: DataFrame) -> DataFrame:
             F.col("fp").alias("fp_a"), F.col("id").alias("a"), (F.col("i") < 0).alias("same"),
         )
     )
-    met = asked.join(stored, ["s", "value"]).where("NOT same OR fp_a < fp_b")
+    # Catalyst takes both sides for as small as the classes, as it does not count what explode adds; so it must not broadcast one.
+    met = asked.join(stored.hint("merge"), ["s", "value"]).where("NOT same OR fp_a < fp_b")
     return met.where(f"bit_count(fp_a ^ fp_b) BETWEEN 1 AND {DISTANCE}").select("a", "b")
 
 
@@ -96,10 +97,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = materialize(made.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     linked = components(links(classes))
     placed = materialize(
-        classes.join(linked.withColumnRenamed("node", "id"), "id", "left")
+        classes.join(linked.withColumnRenamed("node", "id").hint("merge"), "id", "left")
         .select("fp", F.coalesce("component", "id").alias("component_id")), "placed"
     )
-    return made.join(placed, "fp", "left").select(
+    return made.join(placed.hint("merge"), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
@@ -117,6 +118,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha", "n"))
     classes = materialize(texts.groupBy("fp").agg(first.alias("first")), "classes")
     linked = components(links(classes.select("fp", F.col("fp").alias("id"))))
-    joined = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    joined = classes.join(linked.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     kept = joined.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
     return one_row_each(docs, materialize(kept.select("first.*"), "kept"), sha)
