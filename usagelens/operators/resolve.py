@@ -190,13 +190,17 @@ def resolve_entities(
 
     Every rule reads the candidates, so they are written once; their measured
     size then lets Spark broadcast a small batch and leave the index unshuffled.
-    Each rule is an inner join, and of several artifacts the least id is taken.
+    Each rule is an inner join, and of several artifacts the least id is taken; for a
+    coordinate, which many of both sides may have, before the join.
     """
     candidates = materialize(candidates, "candidates")
     listed = candidates.where(F.col("catalogue").isNotNull())
     loose = candidates.where(F.col("catalogue").isNull() & F.col("coordinate").isNotNull())
-    at_coordinate = artifacts.select(
-        F.col("coordinates").alias("coordinate"), F.col("id").alias("artifact_id"), F.col("version").alias("indexed")
+    # Many artifacts and many candidates may share a coordinate: one row of each asked coordinate is left.
+    asked = materialize(loose.select("coordinate").distinct(), "asked")
+    at_coordinate = materialize(
+        artifacts.select(F.col("coordinates").alias("coordinate"), "id", "version").join(asked, "coordinate", "left_semi")
+        .groupBy("coordinate").agg(F.min("id").alias("artifact_id"), F.min_by("version", "id").alias("indexed")), "at-coordinate"
     )
 
     def hit(rule: str, rows: DataFrame, indexed: Column | None = None) -> DataFrame:
