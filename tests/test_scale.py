@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from usagelens.operators import resolve
+from usagelens.operators import closure, resolve
 from usagelens.session import tune
 
 
@@ -40,3 +40,18 @@ def test_python_workers_get_batches_bounded_in_bytes(spark):
     whole = tune(spark).range(0, 60, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1 << 20), "utf-8").alias("content"))
     held = [r["held"] for r in whole.mapInPandas(sizes, "held bigint").collect()]
     assert sum(held) == 60 << 20 and max(held) <= 16 << 20
+
+
+def test_override_search_writes_only_the_members_of_roots(spark, rows, monkeypatch):
+    written, tables = {}, []
+    write, store = closure.materialize, closure.Scratch.write
+    monkeypatch.setattr(closure, "materialize", lambda df, label: written.setdefault(label, write(df, label)))
+    monkeypatch.setattr(closure.Scratch, "write", lambda self, df, table, *a: tables.append(table) or store(self, df, table, *a))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("c", "a"), (None, "z")], "parent string, child string")
+    made = [(f"{c}.{n}", c, n, "()V") for c in "abcxyz" for n in ("m", "n")] + [("b.o", "b", "o", "()V"), ("c.m", "c", "m", "()V")]
+    members = spark.createDataFrame(made, "id string, cls string, name string, descriptor string").distinct()
+    roots = spark.createDataFrame([("a",)], "root string")
+    found = closure.overriding_members(members, edges, roots, "^m", distinct=True)
+    assert rows(found, "root", "id") == [("a", "a.m"), ("a", "b.m"), ("a", "c.m")]
+    assert written["own"].count() == 1 and "members" not in written and "plain" not in tables
+    assert rows(closure.descendants(edges, roots, distinct=True)) == rows(closure.descendants(edges.union(edges), roots))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.versions import version_key
 from ..operators import closure, nested
+from ..session import materialize
 from .registry import Tables, query
 from .roles import (
     CYCLIC_EDGES, MEMBERS, TREE_EDGES, TREE_NODES, artifacts, busiest_parent, col, cyclic_edges, lit, members,
@@ -61,15 +62,15 @@ JOIN own ON own.root = b.root AND own.name = m.name AND own.descriptor = m.descr
 @query("overriding_members", f"""
 WITH RECURSIVE {CYCLIC_EDGES}, {MEMBERS}, {BELOW}, {OVERRIDES.format(pattern='true')}""")
 def overriding_members(t: Tables) -> DataFrame:
-    edges = cyclic_edges(t)
-    return closure.overriding_members(members(t), edges, busiest_parent(edges))
+    edges = materialize(cyclic_edges(t), "edges")
+    return closure.overriding_members(members(t), edges, busiest_parent(edges), distinct=True)
 
 
 @query("overriding_members_like", f"""
 WITH RECURSIVE {CYCLIC_EDGES}, {MEMBERS}, {BELOW}, {OVERRIDES.format(pattern="regexp_matches(name, '^[AN]')")}""")
 def overriding_members_like(t: Tables) -> DataFrame:
-    edges = cyclic_edges(t)
-    return closure.overriding_members(members(t), edges, busiest_parent(edges), "^[AN]")
+    edges = materialize(cyclic_edges(t), "edges")
+    return closure.overriding_members(members(t), edges, busiest_parent(edges), "^[AN]", distinct=True)
 
 
 @query("inheritance_edges", """
