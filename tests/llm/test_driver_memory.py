@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.llm import components, simhash
+from usagelens.llm import chunk_dedup, components, simhash
 
 
 def plan(df) -> str:
@@ -29,3 +29,13 @@ def test_no_step_of_near_copies_is_broadcast(llm, monkeypatch, work, steps):
     work(docs).collect()
     assert steps <= {label for label, _ in plans}
     assert not [label for label, text in plans if "BroadcastHashJoin" in text]
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, chunk_dedup.keep_first])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_kept_rows_are_not_broadcast(llm, keep, repeated):
+    made = [(i, f"text {i % 4}") for i in range(8)]
+    docs = llm.createDataFrame(made + made[:3] * repeated, "doc_id bigint, text string")
+    found = keep(docs)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert len(found.select("text").distinct().collect()) == found.count()

@@ -38,12 +38,13 @@ def one_row_each(docs: DataFrame, kept: DataFrame, sha: Column, id_col: str = "d
     """The rows of ``docs`` that ``kept(doc_id, sha, n)`` names, one where ``n`` rows share id and text.
 
     ``sha`` is the checksum of a row's text as ``kept`` has it; ids may be null. ``kept`` must be a written table.
+    It grows with the corpus, and its files tell little of what a broadcast of it would take on the driver, so it is merged.
     """
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), sha.alias("_sha"))
     same = F.col("_id").eqNullSafe(kept["doc_id"]) & (F.col("_sha") == kept["sha"])
     if kept.where("n > 1").isEmpty():
-        return own.join(kept, same, "left_semi").select("_row.*")
-    met = own.join(kept, same).select("_row", "_id", "_sha", "n")
+        return own.join(kept.hint("merge"), same, "left_semi").select("_row.*")
+    met = own.join(kept.hint("merge"), same).select("_row", "_id", "_sha", "n")
     tied = met.where("n > 1").groupBy("_id", "_sha").agg(F.min_by("_row", F.coalesce(F.col("_row")[text_col], F.lit(""))).alias("_row"))
     return met.where("n = 1").select("_row").union(tied.select("_row")).select("_row.*")
 
