@@ -59,11 +59,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _block(part: int, block: int, first: int, doc_ids: list, texts: list[np.ndarray]) -> dict:
     ids = np.concatenate(texts)
-    used, places, seen = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((used, -seen))
-    rank = np.empty(len(used), np.uint32)
-    rank[order] = np.arange(len(used), dtype=np.uint32)
-    control, data = pack(rank[places])
+    # Counted by id, of which there are no more than the tokenizer has, and not sorted.
+    seen = np.bincount(ids)
+    used = np.flatnonzero(seen)
+    order = np.lexsort((used, -seen[used]))
+    rank = np.empty(len(seen), np.uint32)
+    rank[used[order]] = np.arange(len(used), dtype=np.uint32)
+    control, data = pack(rank[ids])
     return {
         "part": part, "block": block, "first": first, "n_ids": len(ids), "doc_ids": doc_ids,
         "counts": [len(text) for text in texts], "ranks": used[order].astype("<u4").tobytes(),

@@ -1,11 +1,13 @@
-"""Whole-text encoding with the ``tokenizers`` library, one library call for many new words.
+"""Whole-text encoding with the ``tokenizers`` library, which sees each distinct word once.
 
 Byte-pair encoding works inside pre-tokens, so each distinct pre-token goes to the
-library once for each worker, many at a time, and its ids are remembered. Two layouts
+library's model once for each worker, and its ids are remembered. Two layouts
 are known, and any other tokenizer encodes whole texts:
 
-* *word ends*: lower case, white space dropped; some ids end a word;
-* *byte level*: pre-tokens may start with a space, and some ids start with one.
+* *word ends*: lower case, white space dropped;
+* *byte level*: pre-tokens may start with a space.
+
+Where the tokenizer spells bytes, the model is given the character that stands for each byte.
 
 Texts with characters for which Unicode tables or normal forms could differ between
 libraries go to the tokenizer as a whole, and so do texts that spell a special token.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 import regex
@@ -58,29 +61,55 @@ def fast(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level models (a fixed value): itself where it can be seen."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    unseen = [byte for byte in range(256) if byte not in seen]
+    return {byte: chr(byte) for byte in seen} | {byte: chr(256 + at) for at, byte in enumerate(unseen)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
+class _Known(dict):
+    """Ids of pre-tokens as bytes; a new one is asked of the library's model."""
+
+    def __init__(self, tokenizer: Tokenizer, byte_level: bool):
+        self.tokenize, self.byte_level = tokenizer.model.tokenize, byte_level
+
+    def __missing__(self, part: str) -> bytes:
+        spelled = part.encode("utf-8").decode("latin-1").translate(BYTE_CHARACTERS) if self.byte_level else part
+        ids = [token.id for token in self.tokenize(spelled)]
+        self[part] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+
+def _splits_words(spec: dict | None) -> tuple[bool, bool]:
+    """Whether a pre-tokenizer does nothing but cut by the word pattern, and whether it spells bytes after that."""
+    steps = (spec or {}).get("pretokenizers") or [spec or {}]
+    cut, after = steps[0], steps[1:]
+    words = cut.get("type") == "Split" and cut.get("pattern") == {"Regex": WORD_PATTERN} and cut.get("behavior") == "Removed" and cut.get("invert")
+    plain = lambda step: step["type"] == "ByteLevel" and not step["add_prefix_space"] and not step["use_regex"]
+    return bool(words and len(after) < 2 and all(map(plain, after))), bool(after)
+
+
 class TextEncoder:
     def __init__(self, path: str, memory: int = MEMORY):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.memory = memory
         self.whole = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.parts: dict[str, bytes] = {}
-        vocabulary = self.whole.get_vocab()
-        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        text = json.dumps(spec.get("pre_tokenizer"))
+        words, byte_level = _splits_words(spec.get("pre_tokenizer"))
         suffix = spec["model"].get("end_of_word_suffix")
         self.kind = "other"
-        if spec["model"]["type"] == "BPE" and suffix and json.dumps(WORD_PATTERN)[1:-1] in text:
+        if spec["model"]["type"] == "BPE" and suffix and words:
             self.kind, self.pattern = "word ends", fast(FAST_WORD)
-            self.edge[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         elif spec["model"]["type"] == "BPE" and not suffix and spec.get("normalizer") is None \
                 and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" \
                 and not spec["pre_tokenizer"]["add_prefix_space"] and spec["pre_tokenizer"]["use_regex"]:
-            self.kind, self.pattern = "byte level", fast(FAST_BYTE)
-            self.edge[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+            self.kind, self.pattern, byte_level = "byte level", fast(FAST_BYTE), True
         self.special = [token["content"] for token in spec.get("added_tokens", [])]
+        self.parts = _Known(self.whole, byte_level)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
@@ -88,22 +117,16 @@ class TextEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [self._pretokens(text) for text in texts]
-        new = self._new(cut)
-        if len(self.parts) + len(new) > self.memory:
-            self.parts = {}
-            new = self._new(cut)
-        self._learn(new)
-        known = self.parts
-        return [
-            self._bytes(self.whole.encode(text, add_special_tokens=False).ids) if words is None
-            else b"".join([known[word] for word in words])
-            for text, words in zip(texts, cut)
-        ]
-
-    def _new(self, cut: list[list[str] | None]) -> set[str]:
-        parts = self.parts
-        return {word for word in set().union(*[words for words in cut if words is not None]) if word not in parts}
+        found, id_of = [], self.parts.__getitem__
+        for text in texts:
+            words = self._pretokens(text)
+            if words is None:
+                found.append(self._bytes(self.whole.encode(text, add_special_tokens=False).ids))
+                continue
+            found.append(b"".join(map(id_of, words)))
+            if len(self.parts) > self.memory:
+                self.parts.clear()
+        return found
 
     def _pretokens(self, text: str) -> list[str] | None:
         if self.kind == "other" or UNSURE.search(text) or any(token in text for token in self.special):
@@ -113,23 +136,3 @@ class TextEncoder:
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        together = [part for part in new if self.kind == "word ends" or part[0] == " " and len(part) > 1 and part[1] != " "]
-        self._learn_parts(together)
-        for part in [part for part in new if part not in self.parts]:
-            self.parts[part] = self._bytes(self.plain.encode(part, add_special_tokens=False).ids)
-
-    def _learn_parts(self, led: list[str]) -> None:
-        glue = "" if self.kind == "byte level" else " "
-        for at in range(0, len(led), 64):
-            some = led[at:at + 64]
-            ids = np.array(self.plain.encode(glue.join(some), add_special_tokens=False).ids, "<u4")
-            marks = np.flatnonzero(self.edge[ids])
-            if len(marks) != len(some):
-                continue  # they are encoded one by one
-            cuts = marks[1:] if self.kind == "byte level" else marks[:-1] + 1
-            data, cuts = ids.tobytes(), [0, *(cuts * 4).tolist(), ids.size * 4]
-            for part, start, end in zip(some, cuts, cuts[1:]):
-                self.parts[part] = data[start:end]
-
