@@ -5,8 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from usagelens.operators import closure, resolve
+from usagelens.operators import closure, remap, resolve
 from usagelens.session import tune
+from usagelens.sinks import generations
 
 
 def test_a_shared_coordinate_is_one_row_before_the_join(spark, rows, monkeypatch):
@@ -55,3 +56,40 @@ def test_override_search_writes_only_the_members_of_roots(spark, rows, monkeypat
     assert rows(found, "root", "id") == [("a", "a.m"), ("a", "b.m"), ("a", "c.m")]
     assert written["own"].count() == 1 and "members" not in written and "plain" not in tables
     assert rows(closure.descendants(edges, roots, distinct=True)) == rows(closure.descendants(edges.union(edges), roots))
+
+
+def test_a_table_that_one_run_has_changed_is_read_without_a_join(spark, rows, tmp_path):
+    path, schema = str(tmp_path / "t"), "k bigint, v string"
+    first = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], schema)
+    read = lambda order=None: generations.read(spark, path, first.schema, "k", order=order)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    generations.lay_out(spark, path, first.schema, "k")
+    generations.publish(spark, path, generations.new_run(), 0)
+    assert rows(read()) == []
+    lost = generations.new_run()
+    assert generations.append(first, first.select("k"), path, "k", lost) and rows(read()) == []
+    generations.replace(first, first.select("k"), path, "k")
+    assert "Join" not in plan(read()) and rows(read()) == [(1, "a"), (1, "b"), (2, "c")]
+    second = spark.createDataFrame([(1, "d")], schema)
+    generations.replace(second, spark.createDataFrame([(1,), (2,)], "k bigint"), path, "k")
+    assert rows(read()) == [(1, "d")]
+    assert "Join" not in plan(read(1)) and rows(read(1)) == [(1, "a"), (1, "b"), (2, "c")] and rows(read(0)) == []
+
+
+def test_renames_lie_by_the_key_of_their_record(spark, rows, monkeypatch):
+    written = []
+    write = remap.materialize
+    monkeypatch.setattr(remap, "materialize", lambda df, label: written.append(label) or write(df, label))
+    none = "CAST(array() AS array<struct<type:string,members:string>>)"
+    records = spark.range(200).selectExpr(
+        "id AS artifact_id", "0L AS position", "concat('c/', id) AS name", "'q' AS super", "CAST(array() AS array<string>) AS interfaces", f"{none} AS annotations",
+        f"array(named_struct('name', concat('f_', id % 3), 'desc', 'I', 'access', 1, 'annotations', {none})) AS fields",
+        "CAST(array() AS array<struct<name:string,desc:string,access:int,annotations:array<struct<type:string,members:string>>>>) AS methods",
+        "CAST(array() AS array<struct<owner:string,name:string,desc:string,count:int>>) AS method_refs",
+        "CAST(array() AS array<struct<owner:string,name:string,desc:string,count:int>>) AS field_refs",
+    )
+    mapping = spark.createDataFrame([("field", "f_1", "one"), ("field", "f_2", "two")], "kind string, original string, mapped string")
+    found = remap.remap_records(records, mapping)
+    assert written == ["mapping"]
+    named = rows(found.selectExpr("artifact_id", "fields[0].name AS name"))
+    assert named == sorted([(i, ["f_0", "one", "two"][i % 3]) for i in range(200)], key=repr)
