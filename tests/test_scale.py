@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from usagelens.operators import closure, remap, resolve
 from usagelens.session import tune
 from usagelens.sinks import generations
+from usagelens.sources import archives
 
 
 def test_a_shared_coordinate_is_one_row_before_the_join(spark, rows, monkeypatch):
@@ -93,3 +94,14 @@ def test_renames_lie_by_the_key_of_their_record(spark, rows, monkeypatch):
     assert written == ["mapping"]
     named = rows(found.selectExpr("artifact_id", "fields[0].name AS name"))
     assert named == sorted([(i, ["f_0", "one", "two"][i % 3]) for i in range(200)], key=repr)
+
+
+def test_archives_reach_python_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"held": [int(batch["content"].map(len).sum())]})
+
+    pages = tune(spark).range(0, 64, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1 << 18), "utf-8").alias("content"))
+    held = [r["held"] for r in pages.mapInPandas(sizes, "held bigint").collect()]
+    assert sum(held) == 16 << 20 and max(held) <= 2 << 20
+    assert archives.BATCH_BYTES <= 1 << 20

@@ -18,7 +18,7 @@ ENTRY = (
     "archive string, container string, depth int, place int, position bigint, path string, "
     "id string, version string, content binary, error string"
 )
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _nested(jar: zipfile.ZipFile) -> Iterator[tuple[str, str | None, str | None]]:
