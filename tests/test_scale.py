@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from usagelens.operators import closure, remap, resolve
+from usagelens.operators import closure, dictionary, remap, resolve
 from usagelens.session import tune
 from usagelens.sinks import generations
+from usagelens.sinks.dictionaries import Dictionaries
 from usagelens.sources import archives
 
 
@@ -105,3 +106,20 @@ def test_archives_reach_python_workers_in_small_batches(spark):
     held = [r["held"] for r in pages.mapInPandas(sizes, "held bigint").collect()]
     assert sum(held) == 16 << 20 and max(held) <= 2 << 20
     assert archives.BATCH_BYTES <= 1 << 20
+
+
+def test_members_are_made_distinct_once(spark, rows, tmp_path, monkeypatch):
+    given, fresh = {}, dictionary.fresh
+
+    def seen(existing, values, keys, distinct=False):
+        given[tuple(keys), distinct] = values
+        return fresh(existing, values, keys, distinct)
+
+    monkeypatch.setattr(dictionary, "fresh", seen)
+    held = Dictionaries(spark, str(tmp_path / "d")).create()
+    some = [("a", "m", "()V"), ("a", "m", "()V"), ("b", "m", "()V"), ("b", None, "()V")]
+    held.extend({"method_references": spark.createDataFrame(some, "owner string, name string, descriptor string")})
+    held.extend({"method_references": spark.createDataFrame([*some, ("c", "n", "()V")], "owner string, name string, descriptor string")})
+    assert rows(held.spelled("methods")) == [(1, "a", "m", "()V"), (2, "b", "m", "()V"), (3, "c", "n", "()V")]
+    members = given[("cls", "name", "descriptor"), True]
+    assert members.count() == members.distinct().count() == 3
