@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from usagelens.operators import closure, dictionary, remap, resolve
+from usagelens.operators import clean, closure, dictionary, flatten, remap, resolve
+from usagelens.schemas import CLASS_RECORD
 from usagelens.session import tune
 from usagelens.sinks import generations
 from usagelens.sinks.dictionaries import Dictionaries
@@ -123,3 +124,31 @@ def test_members_are_made_distinct_once(spark, rows, tmp_path, monkeypatch):
     assert rows(held.spelled("methods")) == [(1, "a", "m", "()V"), (2, "b", "m", "()V"), (3, "c", "n", "()V")]
     members = given[("cls", "name", "descriptor"), True]
     assert members.count() == members.distinct().count() == 3
+
+
+def test_cleaning_judges_members_as_rows_and_writes_no_members(spark, rows, monkeypatch):
+    written = []
+    write = clean.materialize
+    monkeypatch.setattr(clean, "materialize", lambda df, label: written.append(label) or write(df, label))
+    mark, none = ("x/Mark", "{}"), []
+    member = lambda name, access, marks=none: (name, "()V", access, marks)
+    made = [
+        (1, 0, "A", None, ["I"], [], [member("f", 2), member("g", 2, [mark]), member("h", 1), member("n", None)], [member("lambda$0", 10), member("m", 4), member(None, 9)],
+         [("A", "lambda$0", "()V", 3), ("A", "m", "()V", 2), ("B", "m", "()V", 1)], [("A", "f", "J", 1), ("A", "h", "I", 1)]),
+        (1, 1, "A$1", "A", None, [], None, [], [], None),
+        (1, 2, None, "A", ["J", None], [], [], [member("m", 1)], [], []),
+    ]
+    records = spark.createDataFrame(made, CLASS_RECORD)
+    facts, loader = clean.clean_artifact(records), clean.clean_loader(records)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for table in ("class_parents", "field_defs", "method_defs", "method_references"):
+        assert "lambdafunction" not in plan(facts[table]) and "lambdafunction" not in plan(loader.get(table, facts[table]))
+    assert "removable" not in written
+    assert rows(facts["field_defs"], "name") == [("g",), ("h",)] and rows(facts["field_annotations"], "name") == [("g",)]
+    assert rows(facts["method_defs"], "position", "name") == [(0, "m"), (0, None), (2, "m")]
+    assert rows(facts["method_references"], "owner", "name") == [("A", "m"), ("B", "m")] and rows(facts["field_references"], "name") == [("h",)]
+    assert rows(facts["class_parents"], "position", "parent") == [(0, "I"), (2, "A"), (2, "J")]
+    assert rows(loader["class_defs"], "class_name") == [("A",)] and rows(loader["method_defs"], "name") == [("m",)]
+    old = flatten.flatten_records(clean.drop_lambdas(clean.drop_private(records)))
+    new = flatten.flatten_records(records, keep={"fields": clean.not_private, "methods": lambda m: clean.not_private(m) & clean.not_lambda(m)})
+    assert all(rows(old[t]) == rows(new[t]) for t in old)
