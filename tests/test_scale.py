@@ -152,3 +152,37 @@ def test_cleaning_judges_members_as_rows_and_writes_no_members(spark, rows, monk
     old = flatten.flatten_records(clean.drop_lambdas(clean.drop_private(records)))
     new = flatten.flatten_records(records, keep={"fields": clean.not_private, "methods": lambda m: clean.not_private(m) & clean.not_lambda(m)})
     assert all(rows(old[t]) == rows(new[t]) for t in old)
+
+
+def test_references_do_not_move_where_few_classes_are_met(spark, rows, monkeypatch):
+    written, write = {}, clean.materialize
+
+    def seen(df, label):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(clean, "materialize", seen)
+    member = lambda name, access, desc="()V": (name, desc, access, [])
+    fields, methods = [member("f", 2), member("g", 1)], [member("m", 2), member("n", 1), member("m", 1, "()I")]
+    own = lambda c: [(c, "m", "()V", 1), (c, "n", "()V", 1), (c, "m", "()I", 1), (c, None, "()V", 1), (c, "m", None, 1), (None, "m", "()V", 1)]
+    made = [(1, i, f"C{i}", "S", [], [], fields, methods, own(f"C{i}"), [(f"C{i}", "f", "I", 1), (f"C{i}", "g", "J", 1)]) for i in range(40)]
+    made += [
+        (1, 90, "U", "S", [], [], None, [], [("C7", "m", "()V", 1), ("C7", "n", "()V", 1), ("V", "m", "()V", 1)], [("C8", "f", "J", 1)]),
+        # Defined twice: the later record decides. At one position twice, or with a member twice: what any of them says is removed.
+        (1, 91, "T", "S", [], [], [], [member("m", 2)], own("T"), []), (1, 92, "T", "S", [], [], [], [member("n", 2)], own("T"), []),
+        (1, 93, "W", "S", [], [], [], [member("m", 2)], own("W"), []), (1, 93, "W", "S", [], [], [], [member("n", 2)], own("W"), []),
+        (1, 94, "R", "S", [], [], [], [member("m", 1), member("m", 2), member("m", 1)], own("R"), []),
+        (None, 95, "N", "S", [], [], [], methods, own("N"), []), (2, 96, None, "S", [], [], [], methods, own(None), []),
+    ]
+    records = spark.createDataFrame(made, CLASS_RECORD)
+    plain = flatten.flatten_records(records)
+    members = clean.removable_members(records)
+    old = {t: clean.drop_own_references(plain[t], members, k) for t, k in (("method_references", "methods"), ("field_references", "fields"))}
+    columns = plain["method_references"].columns
+    new = clean.clean_artifact(records)
+    assert all(rows(new[t], *columns) == rows(old[t], *columns) for t in old)
+    assert {r["owner"] for r in written["referred"].collect()} == {"C7", "C8", "T", "W", "R"}
+    monkeypatch.setattr(clean, "FEW", 0)
+    new = clean.clean_artifact(records)
+    assert all(rows(new[t], *columns) == rows(old[t], *columns) for t in old)
+    assert len(rows(old["method_references"])) < len(rows(plain["method_references"]))
