@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from usagelens.operators import clean, closure, dictionary, flatten, remap, resolve
+from usagelens.operators import clean, closure, dictionary, flatten, packed, remap, resolve
 from usagelens.schemas import CLASS_RECORD
-from usagelens.session import tune
+from usagelens.session import materialize, tune
 from usagelens.sinks import generations
 from usagelens.sinks.dictionaries import Dictionaries
 from usagelens.sources import archives
@@ -186,3 +186,47 @@ def test_references_do_not_move_where_few_classes_are_met(spark, rows, monkeypat
     new = clean.clean_artifact(records)
     assert all(rows(new[t], *columns) == rows(old[t], *columns) for t in old)
     assert len(rows(old["method_references"])) < len(rows(plain["method_references"]))
+
+
+def test_records_move_as_one_value_and_stay_as_they_are(spark, rows, tmp_path):
+    mark = ("x/Mark", '{"n":1.0,"a":"\u00e9\\"\U0001f600"}')
+    made = [
+        (1, 2**62, "A", None, [], [mark], [("f", None, 2**31 - 1, [mark]), (None, "", -1, [])], [], [("A", "m", "()V", 3)], []),
+        (1, 0, "", "S\x00", ["I", None], None, None, [None, ("m", "()V", None, None)], None, [("A", None, None, None)]),
+        (None, None, None, None, None, None, None, None, None, None),
+    ]
+    records = tune(spark).createDataFrame(made, CLASS_RECORD)
+    other = records.select("artifact_id", "position", "name", F.lit(7).alias("more"))
+    back = packed.join(records, other, ["artifact_id", "position", "name"], "left")
+    assert back.schema.simpleString() == records.withColumn("more", F.lit(7)).schema.simpleString()
+    assert rows(back.drop("more")) == rows(records) and rows(back, "more") == [(7,), (7,), (None,)]
+    big = materialize(records.crossJoin(spark.range(2000)).withColumn("position", F.col("id")).drop("id"), "records")
+    assert all(path.endswith(".zstd.parquet") for path in big.inputFiles())
+    mapping = spark.createDataFrame([("field", f"f_{i}", f"named {i}") for i in range(50)], "kind string, original string, mapped string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = remap.remap_records(big, mapping)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "to_variant_object" in plan and plan.index("to_variant_object") > plan.index("SortMergeJoin")
+
+
+def test_kinds_with_few_renames_do_not_move(spark, rows, monkeypatch):
+    written, write = {}, remap.materialize
+    monkeypatch.setattr(remap, "materialize", lambda df, label: written.setdefault(label, write(df, label)))
+    member = lambda name, desc: (name, desc, 1, [])
+    made = [
+        (i, 0, f"c/{i}", "q", [], [], [member(f"f_{i % 3}", f"[Lc/{i};")], [member(f"m_{i % 2}", f"(Lc/{i + 1};)V")], [(f"c/{i + 1}", f"m_{i % 2}", "()V", 2)], [])
+        for i in range(30)
+    ]
+    records = spark.createDataFrame(made, CLASS_RECORD)
+    mapping = spark.createDataFrame(
+        [("class", f"c/{i}", f"d/{i}") for i in range(0, 30, 2)] + [("field", "f_1", "one"), ("method", "m_0", "zero"), ("other", "f_2", "two")],
+        "kind string, original string, mapped string")
+    whole = rows(remap.remap_records(records, mapping, class_prefix="c/"))
+    assert list(written) == ["mapping"] and written["mapping"].count() == 17
+    monkeypatch.setattr(remap, "FEW", 3)
+    written.clear()
+    assert rows(remap.remap_records(records, mapping, class_prefix="c/")) == whole
+    assert rows(written["mapping-few"], "kind", "mapped") == [("field", "one"), ("method", "zero")]
+    assert sum(r[6][0]["name"] == "one" for r in whole) == 10 and sum(r[8][0]["owner"].startswith("d/") for r in whole) == 14

@@ -14,9 +14,10 @@ SLICES = 1_024
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """The library's settings, and Arrow batches that are bounded in bytes, for very long texts."""
+    """The library's settings, and Arrow batches that are bounded in bytes, for very long texts. Tables are written as fast as can be."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.parquet.compression.codec", "snappy")
     return spark
 
 
