@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from usagelens.operators import clean, closure, dictionary, flatten, packed, remap, resolve
+from usagelens.plans import fact_queries
+from usagelens.plans.registry import Tables
 from usagelens.schemas import CLASS_RECORD
-from usagelens.session import materialize, tune
+from usagelens.session import condense, tune
 from usagelens.sinks import generations
 from usagelens.sinks.dictionaries import Dictionaries
 from usagelens.sources import archives
@@ -200,7 +202,7 @@ def test_records_move_as_one_value_and_stay_as_they_are(spark, rows, tmp_path):
     back = packed.join(records, other, ["artifact_id", "position", "name"], "left")
     assert back.schema.simpleString() == records.withColumn("more", F.lit(7)).schema.simpleString()
     assert rows(back.drop("more")) == rows(records) and rows(back, "more") == [(7,), (7,), (None,)]
-    big = materialize(records.crossJoin(spark.range(2000)).withColumn("position", F.col("id")).drop("id"), "records")
+    big = condense(records.crossJoin(spark.range(2000)).withColumn("position", F.col("id")).drop("id"), "records")
     assert all(path.endswith(".zstd.parquet") for path in big.inputFiles())
     mapping = spark.createDataFrame([("field", f"f_{i}", f"named {i}") for i in range(50)], "kind string, original string, mapped string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -230,3 +232,21 @@ def test_kinds_with_few_renames_do_not_move(spark, rows, monkeypatch):
     assert rows(remap.remap_records(records, mapping, class_prefix="c/")) == whole
     assert rows(written["mapping-few"], "kind", "mapped") == [("field", "one"), ("method", "zero")]
     assert sum(r[6][0]["name"] == "one" for r in whole) == 10 and sum(r[8][0]["owner"].startswith("d/") for r in whole) == 14
+
+
+def test_stored_dictionaries_parse_annotations_where_they_are_written(spark, rows, tmp_path, monkeypatch):
+    made = [(k, 10 * k, k, line, q) for k, line, q in ((1, 1, 10.0), (1, 2, 30.0), (2, 3, 30.0))]
+    lines = spark.createDataFrame(made, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    plans, extend = [], Dictionaries.extend
+
+    def seen(self, facts):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for name, df in facts.items() if "annotations" in name)
+        return extend(self, facts)
+
+    monkeypatch.setattr(Dictionaries, "extend", seen)
+    found = fact_queries.stored_dictionaries(Tables(tune(spark), str(tmp_path)))
+    assert len(plans) == 6 and not any("parse_json" in plan for plan in plans)
+    json = [(1, '{"a":"x","n":10}'), (2, '{"a":"x","n":30}')]
+    assert rows(found.where("kind = 'json_values'"), "id", "text") == json
+    assert rows(found.where("kind = 'uses of a value'"), "id", "n") == [(1, 1), (2, 2)]
