@@ -276,3 +276,20 @@ def test_reads_of_a_few_keys_do_not_shuffle_the_table(spark, store, rows):
     few = store.read_keys("class_defs", wanted)
     assert rows(few, "artifact_id") == [(2,), (5,)]
     assert "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_a_run_move_packed_and_large_tables_are_dense(spark, store, rows, monkeypatch):
+    given, write = {}, index_run.condense
+
+    def seen(df, label):
+        given[label] = df
+        return write(df, label)
+
+    monkeypatch.setattr(index_run, "condense", seen)
+    batch = Batch(spark, [("c1", "a", "1", "f1", "h1", "A", "x"), ("c2", "a", "2", "f2", "h2", "B", "y")])
+    batch.run(store)
+    assert "to_variant_object" in given["records"]._jdf.queryExecution().optimizedPlan().toString()
+    assert {"records", "resolved"} <= set(given)
+    facts = store.read("class_defs")
+    assert rows(facts, "class_name") == [("p/h1",), ("p/h2",)]
+    assert any(path.endswith(".zstd.parquet") for path in facts.inputFiles())
